@@ -1,0 +1,14 @@
+"""Registered queries of the text-safety engine and their DuckDB equivalents."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def guarded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
