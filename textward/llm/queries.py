@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import chat, licenses, mixing
+from textward.llm import chat, licenses, mih, mixing, neardup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_hashed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every vector whose id is divisible by 20."""
+    return mih.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.95 and above among all vectors."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every document, by sentence rules."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
@@ -29,6 +39,8 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_hashed_neighbours": op2_hashed_neighbours,
+    "op3_embedding_neardup": op3_embedding_neardup,
     "op4_license_scan": op4_license_scan,
     "op9_source_mix": op9_source_mix,
     "op10_chat_rotation": op10_chat_rotation,
