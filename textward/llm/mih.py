@@ -96,7 +96,7 @@ def search(
     key: str = "vec_id",
     vector: str = "embedding",
     bits: int = 256,
-    radius: int = 112,
+    radius: int = 120,
     fit_rows: int = 20_000,
     shard_rows: int = 8192,
     query_rows: int = 256,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import chat, licenses, mih, mixing, neardup
+from textward.llm import chat, langid, licenses, mih, mixing, neardup
+from textward.llm.common import id_crc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learnt from three quarters of the ids."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", id_crc(F.col("doc_id")) % 4 == 2)
+    model = langid.train(docs, ~F.col("held_out"))
+    return langid.predict(docs, model, ["doc_id", "held_out"])
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by the contract's weights."""
     plan = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -42,6 +50,7 @@ QUERIES = {
     "op2_hashed_neighbours": op2_hashed_neighbours,
     "op3_embedding_neardup": op3_embedding_neardup,
     "op4_license_scan": op4_license_scan,
+    "op7_language_id": op7_language_id,
     "op9_source_mix": op9_source_mix,
     "op10_chat_rotation": op10_chat_rotation,
 }
