@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import chat, langid, licenses, mih, mixing, neardup
+from textward.llm import chat, langid, licenses, mih, mixing, neardup, pieces
 from textward.llm.common import id_crc
 
 
+#: The model file of op8; a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,6 +39,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids, and whether decoding them gives the text back."""
+    return pieces.encode(_table(spark, sf_dir, "documents"), pieces.read(PIECES), ["doc_id"])
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by the contract's weights."""
     plan = mixing.mix(_table(spark, sf_dir, "documents"))
@@ -51,6 +60,7 @@ QUERIES = {
     "op3_embedding_neardup": op3_embedding_neardup,
     "op4_license_scan": op4_license_scan,
     "op7_language_id": op7_language_id,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_source_mix": op9_source_mix,
     "op10_chat_rotation": op10_chat_rotation,
 }
