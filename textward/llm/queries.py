@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import chat, langid, licenses, mih, mixing, neardup, pieces
+from textward.llm import chat, langid, licenses, lines, mih, mixing, neardup, pieces
 from textward.llm.common import id_crc
 
 
@@ -32,6 +32,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the later copies of runs of lines of 50 words or more."""
+    return lines.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; learnt from three quarters of the ids."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", id_crc(F.col("doc_id")) % 4 == 2)
@@ -59,6 +64,7 @@ QUERIES = {
     "op2_hashed_neighbours": op2_hashed_neighbours,
     "op3_embedding_neardup": op3_embedding_neardup,
     "op4_license_scan": op4_license_scan,
+    "op5_line_dedup": op5_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_source_mix": op9_source_mix,
