@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import chat, langid, licenses, lines, mih, mixing, neardup, pieces
+from textward.llm import chat, jaccard, langid, licenses, lines, mih, mixing, neardup, pieces
 from textward.llm.common import id_crc
 
 
@@ -37,6 +37,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by a Jaccard similarity of 0.85 or more of their 4-word shingles."""
+    return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; learnt from three quarters of the ids."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", id_crc(F.col("doc_id")) % 4 == 2)
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_embedding_neardup": op3_embedding_neardup,
     "op4_license_scan": op4_license_scan,
     "op5_line_dedup": op5_line_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_source_mix": op9_source_mix,
