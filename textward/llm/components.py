@@ -6,6 +6,7 @@ Hot vertices are keys of plain sort-merge joins, whose large partitions adaptive
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +37,19 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == state:
             return e.select(F.col("u").alias("v"), F.col("v").alias("root")).union(e.select("v", F.col("v").alias("root")).distinct())
         seen = state
+
+
+def spanning(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, smallest id reached) for both sides of a block's links: they connect what the block connects."""
+    a, b = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+    if not len(a):
+        return []
+    hit = hit[np.ix_(a, b)]
+    la, lb = left[a], right[b]
+    most = np.iinfo(np.int64).max
+    while True:
+        new_b = np.minimum(lb, np.where(hit, la[:, None], most).min(axis=0))
+        new_a = np.minimum(la, np.where(hit, new_b[None, :], most).min(axis=1))
+        if np.array_equal(new_a, la) and np.array_equal(new_b, lb):
+            return [(left[a], la), (right[b], lb)]
+        la, lb = new_a, new_b

@@ -11,13 +11,13 @@ cells over a few global pivots would not tell them apart. Regions are therefore
    class and of the class below. This loses no pair. Places with equal members are one place.
 3. Every place has a pivot, its smallest point. All members' distances to it are computed: those within the radius form
    its region.
-4. Places whose members are not all connected by now join recursively: each round takes the smallest point of each
-   component in the place as a further pivot, for the members that the triangle inequality leaves over, until the
-   components meet or are few; then the pairs left over by all windows ``|d(x, p) - d(y, p)| <= radius`` are verified.
-   Members of one component are never compared, so that copies don't make pairs.
+4. Places whose members are not all connected by now join recursively. In small ones the pairs across components are
+   verified. Large ones are regions cut in bands by the distance to their pivot: the triangle inequality
+   ``|d(x, p) - d(y, p)| <= d(x, y)`` lets only neighbouring bands meet, block by block, inside tasks that emit a
+   spanning set of links and no pairs.
 
-Links found that way span the components of the full link graph. Work and rows are linear in the texts but for step 4's
-last pairs.
+Links found that way span the components of the full link graph. Rows are linear in the texts; the
+comparisons of step 4 are not, where thousands of texts that are no near copies of one another share most of theirs.
 
 Cases: a null text, or one without words, has the empty set and links with nothing; a text with fewer words than a
 shingle is one shingle; repeated rows and ids are single rows of the result; a null id is never a component's name while
@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textward.llm.common import drop, mix, pieces, save, text_buffer, tidy, word_hashes
-from textward.llm.components import components
+from textward.llm.common import drop, mix, pieces, save, text_buffer, word_hashes
+from textward.llm.components import components, spanning
 
 _K = np.uint64(0xD6E8FEB86659FD93)
 
@@ -289,58 +289,80 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, key: str
     cells = scanned.where("bucket is not null").select("bucket", "keys", "fs").groupBy("bucket").applyInArrow(lambda t: _cells(t), "cell long, f long")
     cells, cells_path = save(cells.distinct())
     drop(spark, scan_path)
-    tidy(spark)
     sets, sets_path = save(_sets_of(slim, cells.select("f").distinct(), words))
-    pivots = cells.groupBy("cell").agg(F.min("f").alias("p"))
+    # a pivot is the place's point with most copies: edited copies lie around the text that they were made from
+    copies = own.groupBy("f").agg((-F.count(F.lit(1))).alias("c"))
+    pivots = cells.join(copies, "f").groupBy("cell").agg(F.min(F.struct("c", "f"))["f"].alias("p"))
     pairs = cells.join(pivots, "cell").where("f <> p").select(F.col("f").alias("x"), "p").distinct()
     known, known_path = save(_verify(pairs, sets))
-    edges, old = _linked(known, percent), None
-    while True:
-        roots = components(edges)
-        member = cells.join(roots.withColumnRenamed("v", "f"), "f", "left").select("cell", "f", F.coalesce("root", "f").alias("root"))
-        spread = member.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-        member, member_path = save(member.join(spread.select("cell", "size"), "cell"))
-        # few members: all pairs across components that are left; many: each component's smallest point is a further pivot
-        pivot = member.groupBy("cell", "root").agg(F.min("f").alias("p"), F.first("size").alias("size"))
-        small = member.where(F.col("size") <= few).select("cell", F.col("root").alias("root_p"), F.col("f").alias("p"))
-        large = pivot.where(F.col("size") > few).select("cell", F.col("root").alias("root_p"), "p")
-        tried = member.join(small.union(large), "cell").where("root <> root_p")
-        tried = tried.select(F.greatest("f", "p").alias("x"), F.least("f", "p").alias("p")).distinct()
-        done = known.select("x", "p").union(known.select(F.col("p").alias("x"), F.col("x").alias("p")))
-        fresh, fresh_path = save(tried.join(done, ["x", "p"], "left_anti"))
-        if fresh.isEmpty():
-            rest = _rest(member, known, few, percent)
-            fresh, rest_path = save(rest.join(done, ["x", "p"], "left_anti"))
-            last = True
-        else:
-            last = False
-        if last and fresh.isEmpty():
-            break
-        more, new_path = save(known.union(_verify(fresh, sets)))
-        drop(spark, member_path, fresh_path, known_path)
-        known, known_path = more, new_path
-        edges = _linked(known, percent)
-        tidy(spark)
+    edges, edges_path = save(_linked(known, percent))
+    roots, roots_path = save(components(edges))
+    member = cells.join(roots.withColumnRenamed("v", "f"), "f", "left").select("cell", "f", F.coalesce("root", "f").alias("root"))
+    spread = member.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    member, member_path = save(member.join(spread.select("cell", "size"), "cell"))
+    small = member.where(F.col("size") <= few)
+    left, right = small.select("cell", F.col("f").alias("x"), F.col("root").alias("rx")), small.select("cell", F.col("f").alias("p"), F.col("root").alias("rp"))
+    tried = left.join(right, "cell").where("x > p and rx <> rp").select("x", "p").distinct()
+    done = known.select("x", "p").union(known.select(F.col("p").alias("x"), F.col("x").alias("p")))
+    more, more_path = save(_linked(_verify(tried.join(done, ["x", "p"], "left_anti"), sets), percent).union(_regions(member.where(F.col("size") > few), pivots, known, sets, percent)))
+    if not more.isEmpty():
+        roots, _ = save(components(edges.union(more)))
     name = own.where("n > 0").groupBy("f").agg(F.min("id").alias("least"))
     name = name.join(roots.select(F.col("v").alias("f"), "root"), "f", "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     names = name.groupBy("root").agg(F.min("least").alias("component_id"))
     of, _ = save(name.join(names, "root").select("f", "component_id"))
-    drop(spark, cells_path, sets_path, known_path)
+    drop(spark, cells_path, sets_path, known_path, edges_path, member_path, more_path)
     out = own.join(of, "f", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _rest(member: DataFrame, known: DataFrame, few: int, percent: int) -> DataFrame:
-    """Pairs of large places, across components, that no window excludes."""
-    radius = (100 - percent) / 100 + 1e-9
-    big = member.where(F.col("size") > few)
-    distance = known.select("x", "p", (1 - F.col("common") / (F.col("nx") + F.col("np") - F.col("common"))).alias("d"))
-    both = distance.union(distance.select(F.col("p").alias("x"), F.col("x").alias("p"), "d"))
-    pivot = big.groupBy("cell").agg(F.min("f").alias("p"))
-    placed = big.join(pivot, "cell").join(both.withColumnRenamed("x", "f"), ["f", "p"])  # the pivot itself has met all
-    window = placed.withColumn("w", F.floor(F.col("d") / radius))
-    left = window.select("cell", "w", F.col("f").alias("x"), F.col("root").alias("rx"), F.col("d").alias("dx"))
-    right = window.select("cell", F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("w"), F.col("f").alias("y"), F.col("root").alias("ry"), F.col("d").alias("dy"))
-    pairs = left.join(right, ["cell", "w"]).where((F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & (F.abs(F.col("dx") - F.col("dy")) <= radius))
-    return pairs.select("x", F.col("y").alias("p")).distinct()
+def _regions(member: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links across components inside large places: (a, b) edges that span them.
+
+    A point's region is its largest place, cut in bands by the distance to that place's pivot, each as wide as the
+    radius, and in blocks of about ``block`` points. Points within the radius lie in the same or in neighbouring bands of
+    a region; blocks of different regions meet where they share a place. A task compares two blocks, and no pair leaves
+    it, but a spanning set of the links.
+    """
+    radius = (100 - percent) / 100
+    home = member.groupBy("f").agg(F.max(F.struct("size", "cell")).alias("h"), F.first("root").alias("root")).select("f", "root", F.col("h.cell").alias("cell"))
+    distance = known.select(F.col("x").alias("f"), "p", (1 - F.col("common") / (F.col("nx") + F.col("np") - F.col("common"))).alias("d"))
+    placed = home.join(pivots, "cell").join(distance, ["f", "p"], "left")  # a pivot has no distance to itself: 0
+    placed = placed.select("f", "root", "cell", F.floor(F.coalesce("d", F.lit(0.0)) / (radius + 1e-9)).alias("band"))
+    number = placed.groupBy("cell", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    placed = placed.join(number, ["cell", "band"]).withColumn("block", F.xxhash64("cell", "band", F.pmod(F.xxhash64("f"), F.col("blocks"))))
+    placed, _ = save(placed.select("f", "root", F.col("cell").alias("region"), "band", "block"))
+    meets = member.select("cell", "f").join(placed.select("f", "region", "band", "block"), "f").select("cell", "region", "band", "block").distinct()
+    one = meets.select("cell", *[F.col(c).alias(f"{c}1") for c in ("region", "band", "block")])
+    two = meets.select("cell", *[F.col(c).alias(f"{c}2") for c in ("region", "band", "block")])
+    near = (F.col("region1") != F.col("region2")) | (F.abs(F.col("band1") - F.col("band2")) <= 1)
+    tasks, _ = save(one.join(two, "cell").where((F.col("block1") <= F.col("block2")) & near).select("block1", "block2").distinct())
+    held = placed.select("f", "root", "block").join(sets, "f")
+    sides = [held.join(tasks.withColumn("block", F.col(c)).where(w), "block").select("block1", "block2", F.lit(c == "block1").alias("first"), "f", "root", "s") for c, w in (("block1", "true"), ("block2", "block1 <> block2"))]
+
+    def compare(t: pa.Table) -> pa.Table:
+        first = t.column("first").to_numpy(zero_copy_only=False).astype(bool)
+        f, root = t.column("f").to_numpy(), t.column("root").to_numpy()
+        s = [np.frombuffer(x, dtype=np.uint64) for x in t.column("s").to_pylist()]
+        a = np.flatnonzero(first)
+        b = np.flatnonzero(~first) if not first.all() else a
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        n = np.array([len(x) for x in s], dtype=np.int64)
+        values, owner = np.concatenate([s[i] for i in b]), np.repeat(np.arange(len(b)), n[b])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        hit = np.zeros((len(a), len(b)), dtype=bool)
+        for i, x in enumerate(a):
+            lo, hi = np.searchsorted(values, s[x], "left"), np.searchsorted(values, s[x], "right")
+            size = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            common = np.bincount(owner[at], minlength=len(b))
+            hit[i] = (common * 100 >= (n[x] + n[b] - common) * percent) & (root[x] != root[b])
+        ids, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for u, r in spanning(hit, f[a], f[b]):
+            ids.append(u), names.append(r)
+        return pa.table({"a": np.concatenate(ids), "b": np.concatenate(names)})
+
+    return sides[0].union(sides[1]).groupBy("block1", "block2").applyInArrow(compare, "a long, b long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textward.llm.common import save
-from textward.llm.components import components
+from textward.llm.components import components, spanning
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -82,22 +82,6 @@ def _links(home: np.ndarray, other: np.ndarray, least: float) -> np.ndarray:
     return home @ other.T >= least
 
 
-def _spanning(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, smallest id reached) for both sides of a block's links: they connect what the block connects."""
-    a, b = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
-    if not len(a):
-        return []
-    hit = hit[np.ix_(a, b)]
-    la, lb = left[a], right[b]
-    most = np.iinfo(np.int64).max
-    while True:
-        new_b = np.minimum(lb, np.where(hit, la[:, None], most).min(axis=0))
-        new_a = np.minimum(la, np.where(hit, new_b[None, :], most).min(axis=1))
-        if np.array_equal(new_a, la) and np.array_equal(new_b, lb):
-            return [(left[a], la), (right[b], lb)]
-        la, lb = new_a, new_b
-
-
 def near_duplicates(
     vectors: DataFrame,
     least: float = 0.95,
@@ -190,7 +174,7 @@ def _blocked(one: DataFrame, centroids: np.ndarray, least: float, block: int) ->
             other = hit & ~same
             n = other @ copies[b] + np.where(same.any(axis=1), copies[ai] - 1, 0)
             out["u"].append(u[ai]), out["v"].append(v[ai]), out["n"].append(n), out["w"].append(np.full(len(ai), -1))
-            for ids, root in _spanning(other, v[ai], v[b]):
+            for ids, root in spanning(other, v[ai], v[b]):
                 out["u"].append(ids), out["v"].append(ids), out["n"].append(np.zeros(len(ids), np.int64)), out["w"].append(root)
         cat = {c: np.concatenate(p) if p else np.zeros(0, np.int64) for c, p in out.items()}
         return pa.table({"u": cat["u"].astype(np.int64), "v": cat["v"].astype(np.int64), "n": cat["n"].astype(np.int64), "w": pa.array(cat["w"].astype(np.int64), mask=cat["w"] < 0) if len(cat["w"]) else pa.array([], pa.int64())})
