@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import chat, jaccard, langid, licenses, lines, mih, mixing, neardup, pieces
+from textward.llm import chat, hpyp, jaccard, langid, licenses, lines, mih, mixing, neardup, pieces
 from textward.llm.common import id_crc
 
 
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pitman_yor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by a model of nine tenths of the ids."""
+    return hpyp.score(_table(spark, sf_dir, "documents"), id_crc(F.col("doc_id")) % 10 == 0)
+
+
 def op2_hashed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest by inner product of every vector whose id is divisible by 20."""
     return mih.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
@@ -66,6 +71,7 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pitman_yor_score": op1_pitman_yor_score,
     "op2_hashed_neighbours": op2_hashed_neighbours,
     "op3_embedding_neardup": op3_embedding_neardup,
     "op4_license_scan": op4_license_scan,
