@@ -4,8 +4,8 @@ Distance is 1 - Jaccard over sets of word shingles. Between unrelated texts it i
 cells over a few global pivots would not tell them apart. Regions are therefore opened where texts can meet at all:
 
 1. Equal sets are one point (a hash of the set), with its smallest id.
-2. Meeting places. If two sets are within the radius, their symmetric difference has at most ``D = 0.15 / 0.85 * smaller``
-   elements. Dealt by hash to m > D parts, at least m - D parts are then equal in both. Every point goes to a place for
+2. Meeting places. If two sets are within the radius, their symmetric difference has at most ``D = radius / (1 - radius) *
+   smaller`` elements. Dealt by hash to m = 17/12 D parts, at least m - D parts are then equal in both. Every point goes to a place for
    each of its parts; parts with fewer than s elements are left out where fewer than m - D of a point's parts are that
    small, so one equal part remains. m follows the size class of the smaller set; a point goes to the places of its own
    class and of the class below. This loses no pair. Places with equal members are one place.
@@ -97,7 +97,7 @@ def places(sets: np.ndarray, bounds: np.ndarray, percent: int = 85) -> tuple[np.
         level = own - below
         top = tops[np.maximum(level, 0)]
         differ = top * (100 - percent) // percent
-        parts = np.maximum(differ + 1, top // 4)
+        parts = differ + np.maximum(1, differ * 5 // 12)
         use = (level >= 0) & (n > 0) & (differ > 0)
         if below:
             use &= n * percent <= top * 100

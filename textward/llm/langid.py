@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 15
 DIM = 1 << BITS
@@ -200,15 +201,17 @@ def train(docs: DataFrame, learnt: Column, key: str = "doc_id", text: str = "tex
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns with lang_pred and score."""
+    """The kept columns with lang_pred and score after them."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2^15 weights a language
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1])
+    at = keep.index(text) if text in keep else len(keep)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *([] if at < len(keep) else [F.col(text).alias("text")]))
+    result = T.StructType([packed.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
-            got = [model.predict(t.as_py()) for t in b.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*keep, "lang_pred", "score"])
+            texts = b.column(0).field(at) if at < len(keep) else b.column(1)
+            got = [model.predict(t.as_py()) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["row", "lang_pred", "score"])
 
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return packed.mapInArrow(run, result).select(*[F.col(f"row.`{c}`") for c in keep], "lang_pred", "score")

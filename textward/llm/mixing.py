@@ -101,14 +101,17 @@ def mix(
     shard_words: int = 16384,
     max_shards: int = 65536,
     seed: int = 7,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """The mix of a table (doc_id, text, source): doc_id, size, source, source_size, target, taken, copies.
 
+    Columns of ``carry`` stand after these; they also order rows of equal id and size.
+
     ``taken`` counts words, repeats included; ``copies`` is for whole-document sampling: the full passes, plus one if
     the block that holds the document's middle word was selected once more. ``shard_words`` is a shard's usual size;
     a source has at most ``max_shards`` shards, which then grow with it.
     """
-    sized, _ = save(docs.select("doc_id", "source", words(F.col("text")).alias("size")))
+    sized, _ = save(docs.select("doc_id", "source", words(F.col("text")).alias("size"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)]))
     targets, _ = save(source_targets(sized.select("source", "size"), weights, share, max_repeat))
     # sources are few: their number is that of distinct names, and every step below keeps them in one small table
     blocks = targets.withColumn("blocks", F.round(F.sum("target").over(W.partitionBy()) / block).cast("long"))
@@ -127,7 +130,8 @@ def mix(
     per_shard = dealt.groupBy("_key", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     quotas = sainte_lague(per_shard.where("shard_size > 0"), ["_key", "shard"], "shard_size", "source_quota", ["_key"])
     quotas = quotas.select("_key", "shard", "shard_size", "quota")
-    run = W.partitionBy("_key", "shard").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    carried = [f"_carry{i}" for i in range(len(carry))]
+    run = W.partitionBy("_key", "shard").orderBy("order", "doc_id", "size", *carried).rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = dealt.withColumn("_end", F.sum("size").over(run)).join(quotas, ["_key", "shard"], "left")
     m = F.ceil(F.col("shard_size") / block).cast("long")
     shift = seeded(seed + 1, F.col("_key"), F.col("shard"))
@@ -135,7 +139,7 @@ def mix(
         "doc_id", "source", "size", "source_size", "target", "_end", "shard_size",
         m.alias("_m"),
         F.least(F.coalesce(F.col("quota"), F.lit(0)), F.floor(m * F.lit(float(max_repeat)))).alias("_q"),
-        shift.alias("_shift"),
+        shift.alias("_shift"), *carried,
     )
     placed = placed.withColumns({"_start": F.col("_end") - F.col("size"), "_full": F.floor(F.col("_q") / F.col("_m")), "_more": F.col("_q") % F.col("_m")})
     prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.col("_shift") % len(PRIMES) + 1).cast("int"))
@@ -149,4 +153,4 @@ def mix(
     taken = F.when(some, F.col("_full") * F.col("size") + F.when(F.col("_more") > 0, part).otherwise(F.lit(0))).otherwise(F.lit(0))
     middle = F.floor((F.col("_start") + F.floor(F.col("size") / 2)) / block)
     copies = F.when(some, F.col("_full") + F.when(chosen(middle), 1).otherwise(0)).otherwise(F.lit(0))
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), copies.cast("int").alias("copies"), *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)])
