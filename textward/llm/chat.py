@@ -41,7 +41,7 @@ def _numbered(messages: DataFrame) -> DataFrame:
 
 
 def _safe(text: Column) -> Column:
-    return F.replace(text, F.lit("<|im_"), F.lit("<​|im_"))
+    return F.replace(text, F.lit("<|im_"), F.lit("<\u200b|im_"))
 
 
 def rotate(
