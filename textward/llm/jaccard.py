@@ -317,22 +317,24 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, key: str
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _regions(member: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+def _regions(member: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataFrame, percent: int, block: int = 384) -> DataFrame:
     """Links across components inside large places: (a, b) edges that span them.
 
-    A point's region is its largest place, cut in bands by the distance to that place's pivot, each as wide as the
-    radius, and in blocks of about ``block`` points. Points within the radius lie in the same or in neighbouring bands of
+    A point's region is that of its most used pivot, cut in bands by the distance to the pivot, each as wide as
+    the radius, and in blocks of about ``block`` points. Points within the radius lie in the same or in neighbouring bands of
     a region; blocks of different regions meet where they share a place. A task compares two blocks, and no pair leaves
     it, but a spanning set of the links.
     """
     radius = (100 - percent) / 100
-    home = member.groupBy("f").agg(F.max(F.struct("size", "cell")).alias("h"), F.first("root").alias("root")).select("f", "root", F.col("h.cell").alias("cell"))
+    under = member.join(pivots, "cell")
+    weight = under.groupBy("p").agg(F.count(F.lit(1)).alias("w"))
+    home = under.join(weight, "p").groupBy("f").agg(F.max(F.struct("w", "p"))["p"].alias("p"), F.first("root").alias("root"))
     distance = known.select(F.col("x").alias("f"), "p", (1 - F.col("common") / (F.col("nx") + F.col("np") - F.col("common"))).alias("d"))
-    placed = home.join(pivots, "cell").join(distance, ["f", "p"], "left")  # a pivot has no distance to itself: 0
-    placed = placed.select("f", "root", "cell", F.floor(F.coalesce("d", F.lit(0.0)) / (radius + 1e-9)).alias("band"))
-    number = placed.groupBy("cell", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    placed = placed.join(number, ["cell", "band"]).withColumn("block", F.xxhash64("cell", "band", F.pmod(F.xxhash64("f"), F.col("blocks"))))
-    placed, _ = save(placed.select("f", "root", F.col("cell").alias("region"), "band", "block"))
+    placed = home.join(distance, ["f", "p"], "left")  # a pivot has no distance to itself: 0
+    placed = placed.select("f", "root", "p", F.floor(F.coalesce("d", F.lit(0.0)) / (radius + 1e-9)).alias("band"))
+    number = placed.groupBy("p", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    placed = placed.join(number, ["p", "band"]).withColumn("block", F.xxhash64("p", "band", F.pmod(F.xxhash64("f"), F.col("blocks"))))
+    placed, _ = save(placed.select("f", "root", F.col("p").alias("region"), "band", "block"))
     meets = member.select("cell", "f").join(placed.select("f", "region", "band", "block"), "f").select("cell", "region", "band", "block").distinct()
     one = meets.select("cell", *[F.col(c).alias(f"{c}1") for c in ("region", "band", "block")])
     two = meets.select("cell", *[F.col(c).alias(f"{c}2") for c in ("region", "band", "block")])
