@@ -97,7 +97,7 @@ def mix(
     weights=WEIGHTS,
     share: float = 1.5,
     max_repeat: float = 2.0,
-    block: int = 32,
+    block: int = 8,
     shard_words: int = 16384,
     max_shards: int = 65536,
     seed: int = 7,
