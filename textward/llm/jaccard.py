@@ -57,8 +57,9 @@ def shingle_sets(raw: np.ndarray, bounds: np.ndarray, n: int = 4) -> tuple[np.nd
                 s = s[np.concatenate([[True], s[1:] != s[:-1]])]
         elif w:
             x = np.uint64(w)
-            for v in h[a : a + w]:
-                x = x * _K + v
+            with np.errstate(over="ignore"):
+                for v in h[a : a + w]:
+                    x = x * _K + v
             s = mix(np.array([x ^ _K], dtype=np.uint64))
         else:
             continue

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textward.llm import chat, hpyp, jaccard, langid, licenses, lines, mih, mixing, neardup, pieces
 from textward.llm.common import id_crc
+from textward.llm.oracles import ORACLES  # noqa: F401
 
 
 #: The model file of op8; a parameter of the operator.
@@ -82,4 +83,3 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_chat_rotation": op10_chat_rotation,
 }
-ORACLES: dict[str, str] = {}
