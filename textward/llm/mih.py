@@ -70,23 +70,37 @@ class Tables:
     """One table of 256 buckets for each substring of 8 bits."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
+        n, m = codes.shape
+        self.n = n
+        self.columns = codes.T.copy()
         self.order = np.argsort(codes, axis=0, kind="stable").T.copy()
-        self.bounds = np.stack([np.searchsorted(np.sort(c), np.arange(257)) for c in codes.T]) if len(codes) else np.zeros((codes.shape[1], 257), int)
+        self.sizes = np.stack([np.bincount(c, minlength=256) for c in self.columns])
+        self.starts = np.cumsum(self.sizes, axis=1) - self.sizes
+        self.words = np.pad(codes, ((0, 0), (0, -m % 8))).copy().view(np.uint64)
+
+    def probe(self, j: int, near: np.ndarray, seen: np.ndarray) -> None:
+        """Marks the rows of table j's near buckets: one by one if they are few, else by a pass over the table's column."""
+        some = np.flatnonzero(near & (self.sizes[j] > 0))
+        size = self.sizes[j][some]
+        total = int(size.sum())
+        if total * 8 < self.n:
+            at = np.repeat(self.starts[j][some] - (np.cumsum(size) - size), size) + np.arange(total)
+            seen[self.order[j][at]] = True
+        else:
+            np.logical_or(seen, near[self.columns[j]], out=seen)
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows within a Hamming distance of a code."""
-        m, seen = self.codes.shape[1], np.zeros(len(self.codes), dtype=bool)
+        m, seen = len(self.columns), np.zeros(self.n, dtype=bool)
         r, a = divmod(radius, m)
         for j in range(m):
-            values = np.flatnonzero(_COUNT[np.arange(256, dtype=np.uint8) ^ code[j]] <= r - (j > a))
-            b, o = self.bounds[j], self.order[j]
-            for value in values:
-                seen[o[b[value] : b[value + 1]]] = True
-            if seen.all():
+            self.probe(j, _COUNT[np.arange(256, dtype=np.uint8) ^ code[j]] <= r - (j > a), seen)
+            if j % 4 == 3 and seen.all():
                 break
         at = np.flatnonzero(seen)
-        return at[_COUNT[self.codes[at] ^ code].sum(axis=1, dtype=np.int32) <= radius]
+        word = np.pad(code, (0, -m % 8)).view(np.uint64)
+        rows_at = self.words if len(at) == self.n else self.words[at]
+        return at[np.bitwise_count(rows_at ^ word).sum(axis=1, dtype=np.int32) <= radius]
 
 
 def search(
