@@ -1,0 +1,93 @@
+"""A small command line: scan, redact, stream, policy, repair. Exit codes: 0 fine, 1 blocked or not repaired, 2 usage."""
+
+from __future__ import annotations
+
+import argparse
+import json
+import sys
+
+from textward.functions import catalog as C
+from textward.operators import guard, policy, repair
+from textward.sources.texts import argument, json_schema
+from textward.streaming.window import StreamFilter, holdback_report, redact
+
+
+def _policy(args) -> policy.Policy:
+    return policy.load(args.policy) if args.policy else policy.default()
+
+
+def _check(p: policy.Policy, stage: str, text: str) -> dict:
+    found, _, _ = guard.scan_all(text, guard.detectors(p, stage))
+    ruled = [(f, p.resolve(stage, f)) for f in found]
+    verdict = max((r.action for _, r in ruled if r), default=0)
+    out = "" if verdict == 3 else redact(text, [(f, p.redaction_for(r)) for f, r in ruled if r and r.action == 2], p.hash_salt)
+    verdict = 1 if verdict == 2 and out == text else verdict
+    shown = [{"label": f"{f[0]}.{f[1]}", "start": f[2], "end": f[3], "severity": C.SEVERITIES[f[4]], "confidence": round(f[5], 4), "rule": r.id if r else "-"} for f, r in ruled]
+    return {"stage": stage, "policy": p.name, "verdict": C.ACTIONS[verdict], "findings": shown, "text": out}
+
+
+def _scan(args) -> int:
+    r = _check(_policy(args), args.stage, argument(args.text, args.file))
+    if args.json:
+        print(json.dumps(r, ensure_ascii=False))
+    else:
+        print(f"verdict: {r['verdict']}")
+        for f in r["findings"]:
+            print(f"  {f['label']:<28} [{f['start']}:{f['end']}] {f['severity']:<8} {f['confidence']:.2f} {f['rule']}")
+        print(r["text"])
+    return int(r["verdict"] == "block")
+
+
+def _stream(args) -> int:
+    if args.chunk_size < 1:
+        raise ValueError("the chunk size must be positive")
+    text, flt = argument(args.text, args.file), StreamFilter(_policy(args), args.stage)
+    for piece in flt.run(text[i : i + args.chunk_size] for i in range(0, len(text), args.chunk_size)):
+        sys.stdout.write(piece)
+    print(f"\nverdict: {C.ACTIONS[flt.verdict()]}, emitted {flt.state.emitted}, leaks {flt.state.leaks}", file=sys.stderr)
+    return int(flt.state.blocked)
+
+
+def _show_policy(args) -> int:
+    p = _policy(args)
+    print(p.dump(), end="")
+    for stage in policy.STAGES:
+        print(f"# holdback {stage}: {guard.holdback(p, stage)}  " + ", ".join(f"{n} {w}" for n, w in holdback_report(p, stage)))
+    return 0
+
+
+def _repair(args) -> int:
+    r = repair.repair(argument(args.text, args.file), json_schema(args.schema), args.attempts)
+    print(json.dumps({"ok": r["ok"], "value": r["value"], "steps": r["steps"], "errors": [repair.shown(e) for e in r["errors"]]}, ensure_ascii=False))
+    return int(not r["ok"])
+
+
+def main(argv: list[str] | None = None) -> int:
+    parser = argparse.ArgumentParser(prog="textward", description="Checks, redacts and repairs text.")
+    parts = parser.add_subparsers(dest="command", required=True)
+    for name, run in (("scan", _scan), ("stream", _stream), ("policy", _show_policy), ("repair", _repair)):
+        sub = parts.add_parser(name)
+        sub.set_defaults(run=run)
+        sub.add_argument("--policy")
+        if name != "policy":
+            sub.add_argument("text", nargs="?")
+            sub.add_argument("--file")
+        if name in ("scan", "stream"):
+            sub.add_argument("--stage", choices=policy.STAGES, default="input" if name == "scan" else "output")
+        if name == "scan":
+            sub.add_argument("--json", action="store_true")
+        if name == "stream":
+            sub.add_argument("--chunk-size", type=int, default=16)
+        if name == "repair":
+            sub.add_argument("--schema", required=True)
+            sub.add_argument("--attempts", type=int, default=1)
+    args = parser.parse_args(argv)
+    try:
+        return args.run(args)
+    except (ValueError, OSError) as e:  # policy and JSON errors are value errors, as undecodable input is
+        print(f"error: {e}", file=sys.stderr)
+        return 2
+
+
+if __name__ == "__main__":
+    sys.exit(main())
