@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,7 +161,7 @@ def _scan(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
                     if x not in seen:
                         seen.add(x)
                         fresh[i] = True
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 go = fresh[row]
                 keys.append(place[go]), fs.append(f[row[go]])
@@ -207,26 +208,33 @@ def _bitmap(values: DataFrame, column: str, bits: int = 26) -> np.ndarray:
     blocks = 64
     width = (1 << bits) // 8 // blocks
 
+    def rows_of(blocks_held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return pa.RecordBatch.from_arrays([pa.array(list(blocks_held), pa.int32()), pa.array([squeeze(x.tobytes()) for x in blocks_held.values()], pa.binary())], ["block", "bits"])
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, dtype=bool)
+        seen = np.zeros((1 << bits) // 8, dtype=np.uint8)
         for b in batches:
-            seen[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
-        packed = np.packbits(seen).reshape(blocks, width)
-        some = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["block", "bits"])
+            slot = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            np.bitwise_or.at(seen, (slot >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (slot & np.uint64(7)).astype(np.uint8))
+        seen = seen.reshape(blocks, width)
+        yield rows_of({int(i): seen[i] for i in np.flatnonzero(seen.any(axis=1))})
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(x, dtype=np.uint8)
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = opened(x.as_py())
                 held[i] = held[i] | x if i in held else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "bits"])
+        yield rows_of(held)
+
+    def opened(x: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8)
 
-    rows = values.select(column).mapInArrow(mark, "block int, bits binary").repartition(blocks, "block").mapInArrow(join, "block int, bits binary").collect()
+    marked = values.select(column).mapInArrow(mark, "block int, bits binary").repartition(blocks, "block").mapInArrow(join, "block int, bits binary").collect()
     out = np.zeros((blocks, width), dtype=np.uint8)
-    for r in rows:
-        out[r["block"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
+    for r in marked:
+        out[r["block"]] |= opened(r["bits"])
     return out.ravel()
 
 
@@ -248,7 +256,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     if int(f[i]) not in seen:
                         seen.add(int(f[i]))
                         at.append(i)
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(f[at].view(np.int64)), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in at], pa.binary())], ["f", "s"])
 
