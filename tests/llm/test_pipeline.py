@@ -67,6 +67,8 @@ def test_stages(spark, rows, tmp_path):
     assert 5 in label.values() and not {300, 301} & set(label.values())
 
     four = corpus_pipeline.source_mix(spark, three, "")
+    four.write.parquet(str(tmp_path / "4"))
+    four = spark.read.parquet(str(tmp_path / "4"))
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix(three).collect()}
     times = {r["doc_id"]: r["count"] for r in four.groupBy("doc_id").count().collect()}
     assert four.columns == columns and times == {d: n for d, n in plan.items() if n}
@@ -77,6 +79,18 @@ def test_stages(spark, rows, tmp_path):
     assert all(machine.decode(r["ids"]) == text[r["doc_id"]] for r in five.collect())
 
 
+def test_repeated_rows(spark, rows):
+    """Rows equal in id and text are one member of a class, and are mixed as the single rows that they are."""
+    docs = spark.createDataFrame([*rows[:30], rows[2], rows[2]], SCHEMA).coalesce(1)
+    kept = corpus_pipeline.ngram_jaccard(spark, docs, "").groupBy("doc_id").count().collect()
+    assert len(kept) == 30 and all(r["count"] == 1 for r in kept)
+    plan = {}
+    for r in mixing.mix(docs).collect():
+        plan[r["doc_id"]] = plan.get(r["doc_id"], 0) + r["copies"]
+    mixed = {r["doc_id"]: r["count"] for r in corpus_pipeline.source_mix(spark, docs, "").groupBy("doc_id").count().collect()}
+    assert mixed == {d: n for d, n in plan.items() if n}
+
+
 def test_run_is_the_stages_in_order(spark, rows, tmp_path):
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))

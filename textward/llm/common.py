@@ -26,9 +26,14 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/t-{uuid.uuid4().hex}"
 
 
+#: Tables that ``save`` has written and ``drop`` has not deleted, in this process.
+WRITTEN: list[str] = []
+
+
 def save(df: DataFrame) -> tuple[DataFrame, str]:
     """Writes a table to the shared folder and reads it back: lineage ends there."""
     path = work_dir(df.sparkSession)
+    WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -37,6 +42,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
     """Deletes tables that no later plan reads."""
     jvm = spark.sparkContext._jvm
     for path in paths:
+        if path in WRITTEN:
+            WRITTEN.remove(path)
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textward.llm.common import drop, mix, pieces, save, text_buffer, word_hashes
+from textward.llm.common import drop, mix, pieces, save, text_buffer, tidy, word_hashes
 from textward.llm.components import components, spanning
 
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -298,6 +298,7 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, key: str
     cells = scanned.where("bucket is not null").select("bucket", "keys", "fs").groupBy("bucket").applyInArrow(lambda t: _cells(t), "cell long, f long")
     cells, cells_path = save(cells.distinct())
     drop(spark, scan_path)
+    tidy(spark)
     sets, sets_path = save(_sets_of(slim, cells.select("f").distinct(), words))
     # a pivot is the place's point with most copies: edited copies lie around the text that they were made from
     copies = own.groupBy("f").agg((-F.count(F.lit(1))).alias("c"))
@@ -321,6 +322,7 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, key: str
     names = name.groupBy("root").agg(F.min("least").alias("component_id"))
     of, _ = save(name.join(names, "root").select("f", "component_id"))
     drop(spark, cells_path, sets_path, known_path, edges_path, member_path, more_path)
+    tidy(spark)
     out = own.join(of, "f", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
