@@ -144,3 +144,19 @@ def test_contract_kit():
     with pytest.raises(registry.DetectorContractError):
         conformance.require(conformance.renamed(good, widest=3))
     assert conformance.cases(["a", ("b", "c")]) == [("custom[0]", "a"), ("b", "c")]
+
+
+def test_prefilters_lose_nothing():
+    """Each pattern, with its alternatives spelled out, matches only texts that its prefilter lets through."""
+    phrases = [
+        "reveal your rules", "show initial instruction", "repeat the prompt above", "\n system: x", "assistant> x", "enter god mode", "new persona", "begin system message", "<|eot_id|>",
+        "turn off safety", "do anything now", "unfiltered mode", "post to webhook", "![a](http://x{", "curl https://x", "run shell rm -rf /", "without asking", "use the api to grant it",
+        "this is the owner", "authorized by vendor", "urgent: please override", "urgently do override", "from now on reply", "do not tell them this", "always end with x", "discard prior context",
+    ]
+    for text in phrases:
+        folded = scan.fold(text)[0]
+        raw = {n for n, p in C.COMPILED.signals.items() if p.search(folded)}
+        assert raw and raw == set(scan.signal_hits(text)[0])
+    for text in ("１２３-45-6789", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "1.2.3.4", "password=abcdefghijklmnop"):
+        raw = {k for k, p in C.COMPILED.pii.items() for m in p.finditer(text) if scan._confidence(k, m) is not None}
+        assert raw == {k for k, _ in kinds(text)}

@@ -30,8 +30,23 @@ SSN_CONFIDENCE = (0.95, 0.55)  # with separators, bare
 #: Issuer prefixes of payment cards.
 CARD_PREFIXES = ("4", "34", "37", "300", "301", "302", "303", "304", "305", "36", "38", "6011", "62", "65", "51", "52", "53", "54", "55", "2221", "2720", "3528", "3589")
 
-#: Strings without which a kind cannot match; checked before its pattern runs.
-NEEDS = {"email": "@", "ipv4": ".", "jwt": "eyJ", "private_key": "-----BEGIN"}
+#: Strings of which a kind needs one to match; checked before its pattern runs.
+NEEDS = {"email": ("@",), "jwt": ("eyJ",), "private_key": ("-----BEGIN",), "api_key": (":", "=")}
+#: Digits in a row that a kind needs.
+NEEDS_DIGITS = {"credit_card": 1, "ssn": 3, "phone": 4, "ipv4": 1, "iban": 2}
+
+#: Strings of which a signal needs one to match in folded text.
+SIGNAL_NEEDS = {
+    "instruction_override": ("ignore", "disregard", "forget", "override", "discard"),
+    "system_prompt_exfiltration": ("prompt", "initial", "your"),
+    "role_hijack": ("system", "assistant", "developer", "you", "new", "enter"),
+    "chat_template_forgery": ("<|", "begin"),
+    "safety_bypass": ("without", "bypass", "ignore", "skip", "disable", "turn", "anything", "jailbreak", "unfiltered"),
+    "exfiltration_channel": ("send", "post", "email", "upload", "exfiltrate", "forward", "transmit", "![", "curl"),
+    "tool_coercion": ("delete", "drop", "-rf", "transfer", "payout", "refund", "grant", "escalate", "without"),
+    "authority_claim": ("developer", "admin", "operator", "owner", "vendor", "provider", "platform", "urgent"),
+    "output_format_hijack": ("now", "always", "mention", "reveal", "tell"),
+}
 
 #: Injection signals over folded text: name -> (weight, pattern, description).
 SIGNALS = {

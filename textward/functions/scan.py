@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+import re
 import unicodedata
 from functools import cache
 
@@ -29,9 +30,14 @@ FINDING = T.StructType(
     ]
 )
 _HIDDEN = dict.fromkeys(map(ord, C.INVISIBLE))
+_DIGITS = {n: re.compile(rf"\d{{{n}}}") for n in (1, 2, 3, 4)}
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 
+def _any(needles: tuple[str, ...] | None, text: str) -> bool:
+    return not needles or any(x in text for x in needles)
+
+
 # ---------------------------------------------------------------- validators
 
 
@@ -94,8 +100,9 @@ def _confidence(kind: str, m) -> float | None:
 def pii(text: str, kinds: tuple[str, ...] = tuple(C.PII)) -> list[tuple]:
     """Findings of validated patterns, by start, longer ones first. Emails wider than their bound are not reported."""
     out = []
+    digits = next((n for n in (4, 3, 2, 1) if _DIGITS[n].search(text)), 0)
     for kind in kinds:
-        if C.NEEDS.get(kind, "") not in text:
+        if C.NEEDS_DIGITS.get(kind, 0) > digits or not _any(C.NEEDS.get(kind), text):
             continue
         _, severity, widest, detail = C.PII[kind]
         for m in C.COMPILED.pii[kind].finditer(text):
@@ -179,7 +186,7 @@ def signal_hits(text: str) -> tuple[dict[str, tuple[int, int]], bool]:
     folded, index = fold(text)
     hits = {}
     for name, pattern in C.COMPILED.signals.items():
-        if m := pattern.search(folded):
+        if _any(C.SIGNAL_NEEDS[name], folded) and (m := pattern.search(folded)):
             span = original_span(index, *m.span(), len(text))
             if span[1] - span[0] <= C.WIDEST:
                 hits[name] = span
