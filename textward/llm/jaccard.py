@@ -300,11 +300,13 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, key: str
     drop(spark, scan_path)
     tidy(spark)
     sets, sets_path = save(_sets_of(slim, cells.select("f").distinct(), words))
+    tidy(spark)
     # a pivot is the place's point with most copies: edited copies lie around the text that they were made from
     copies = own.groupBy("f").agg((-F.count(F.lit(1))).alias("c"))
     pivots = cells.join(copies, "f").groupBy("cell").agg(F.min(F.struct("c", "f"))["f"].alias("p"))
     pairs = cells.join(pivots, "cell").where("f <> p").select(F.col("f").alias("x"), "p").distinct()
     known, known_path = save(_verify(pairs, sets))
+    tidy(spark)
     edges, edges_path = save(_linked(known, percent))
     roots, roots_path = save(components(edges))
     member = cells.join(roots.withColumnRenamed("v", "f"), "f", "left").select("cell", "f", F.coalesce("root", "f").alias("root"))
@@ -315,6 +317,7 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, key: str
     tried = left.join(right, "cell").where("x > p and rx <> rp").select("x", "p").distinct()
     done = known.select("x", "p").union(known.select(F.col("p").alias("x"), F.col("x").alias("p")))
     more, more_path = save(_linked(_verify(tried.join(done, ["x", "p"], "left_anti"), sets), percent).union(_regions(member.where(F.col("size") > few), pivots, known, sets, percent)))
+    tidy(spark)
     if not more.isEmpty():
         roots, _ = save(components(edges.union(more)))
     name = own.where("n > 0").groupBy("f").agg(F.min("id").alias("least"))
@@ -328,7 +331,7 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, key: str
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _regions(member: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataFrame, percent: int, block: int = 384) -> DataFrame:
+def _regions(member: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
     """Links across components inside large places: (a, b) edges that span them.
 
     A point's region is that of its most used pivot, cut in bands by the distance to the pivot, each as wide as
