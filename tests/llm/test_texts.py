@@ -91,6 +91,23 @@ def test_language(spark):
     assert langid.predict(df.where("false"), model, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("languages", [5, 10])
+def test_languages_of_equal_size_are_all_learnt(spark, languages):
+    said = lambda y, i: " ".join(chr(97 + 2 * y + (i * j) % 3) * 2 + chr(97 + 2 * y) for j in range(1, 9))
+    rows = [(100 * y + i, said(y, i), f"l{y}") for y in range(languages) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, F.lit(True), sample_rows=20 * languages)
+    got = langid.predict(df, model, ["doc_id", "lang"]).collect()
+    assert {r["lang"]: r["lang_pred"] for r in got} == {f"l{y}": f"l{y}" for y in range(languages)}
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) == 1 and min(r["score"] for r in got) > 0.3
+
+
+def test_a_language_of_one_row_is_learnt(spark):
+    rows = [(i, w, y) for y, w, n in (("a", "aa bab", 1), ("b", "cc dcd", 6), ("c", "ee fef", 6)) for i in range(n)]
+    df = spark.createDataFrame([*rows, (99, "123", "a")], "doc_id long, text string, lang string")
+    assert langid.train(df, F.lit(True)).predict("aa bab")[0] == "a"
+
+
 def test_slices_count_each_ngram_once(monkeypatch):
     text = "Größe und Länge, aber: viele Wörter in vielen Zeilen " * 20
     whole = langid.ngram_counts(text)

@@ -3,8 +3,8 @@
 Features: the lower-cased text with every character that is no letter as a space; all n-grams of 1 to 3 characters, hashed
 into 2^15 columns; 1 + log(count) times idf, scaled to length 1. The idf comes from all training rows. The regression is
 trained with follow-the-regularised-leader and elastic-net penalties on a bounded sample of labelled rows
-(``sample_rows``, spread evenly over the languages, chosen by a hash of the id), of which every fifth is kept aside for the
-temperature that calibrates the scores.
+(``sample_rows``, spread evenly over the languages, chosen by a hash of the id), of which every fifth row of each language is kept aside for
+the temperature that calibrates the scores; a language's only row is fitted.
 
 Texts of any length are read whole, in slices that overlap by two characters. Cases: a null text, and one without letters,
 is ``und`` with score 0; null labels take no part in training; a table without labelled training rows predicts ``und``;
@@ -190,12 +190,14 @@ def train(docs: DataFrame, learnt: Column, key: str = "doc_id", text: str = "tex
     got = few.select("y", "r", "t").mapInArrow(encode, "y string, r int, at array<int>, x array<float>").toPandas().sort_values(["r", "y"])
     place = {y: i for i, y in enumerate(languages)}
     sample = [(np.asarray(a, dtype=np.int64), np.asarray(x, dtype=np.float64), place[y]) for a, x, y in zip(got["at"], got["x"], got["y"], strict=True)]
-    ftrl, fit = Ftrl(len(languages)), [s for i, s in enumerate(sample) if i % 5]
+    # each language's second, seventh, ... row, so that every language with a row is fitted
+    kept = (got.groupby("y").cumcount() % 5 == 1).to_numpy()
+    ftrl, fit = Ftrl(len(languages)), [s for s, k in zip(sample, kept, strict=True) if not k]
     for _ in range(epochs):
         for s in fit:
             ftrl.learn(*s)
     w = ftrl.weights()
-    aside = [s for i, s in enumerate(sample) if i % 5 == 0]
+    aside = [s for s, k in zip(sample, kept, strict=True) if k]
     logits = np.array([x @ w[at] for at, x, _ in aside]).reshape(-1, len(languages))
     return Model(languages, idf, w.astype(np.float32), temperature(logits, np.array([s[2] for s in aside], dtype=np.int64)))
 
