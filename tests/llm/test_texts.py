@@ -53,6 +53,52 @@ def test_licences(spark):
     assert got[2]["sentence_ids"] == ["apache2.release", "apache2.comply"]
 
 
+KNOWN = {
+    "mit.release": "Released under the MIT License.",
+    "mit.title": "The MIT License (MIT)",
+    "mit.grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and more",
+    "mit.notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "asis.mit": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED',
+    "isc.grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided",
+    "apache2.release": "Licensed under the Apache License, Version 2.0",
+    "apache2.title": "Apache License, Version 2.0, January 2004",
+    "apache2.comply": "you may not use this file except in compliance with the License.",
+    "apache2.copy": "You may obtain a copy of the License at",
+    "apache2.asis": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS',
+    "gpl3.work": "This program is licensed under the GNU General Public License, version 3.",
+    "gpl2.work": "This program is licensed under the GNU General Public License, version 2.",
+    "gpl3.title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2.title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl.free": "This program is free software, you can redistribute it and/or modify it under the terms of the GNU General Public License",
+    "gpl.later": "either version 3 of the License, or (at your option) any later version.",
+    "lgpl.work": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+    "agpl.work": "This program is licensed under the GNU Affero General Public License, version 3.",
+    "mpl2.form": "This Source Code Form is subject to the terms of the Mozilla Public License, v-2.0.",
+    "mpl2.copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "bsd.redist": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd.source": "* Redistributions of source code must retain the above copyright notice, this list",
+    "bsd.binary": "* Redistributions in binary form must reproduce the above copyright notice, this list",
+    "bsd.endorse": "* Neither the name of the holder nor others may be used to endorse or promote products derived",
+    "bsd.asis": 'This software is provided by the holders "as is" and any express or implied warranties of any kind are disclaimed.',
+    "cc.by": "Released under CC BY 4.0.",
+    "cc.by-sa": "Released under CC BY-SA 4.0.",
+    "cc.by-nc": "Released under Creative-Commons Attribution-NonCommercial 4.0",
+    "cc.by-nc-sa": "Released under CC BY-NC-SA 4.0.",
+    "cc.by-nd": "Released under Creative  Commons Attribution-NoDerivatives 4.0",
+    "cc.zero": "Dedicated to the public domain under CC0 1.0",
+    "reserved": "All rights reserved.",
+    "unlicense.domain": "This is free and unencumbered software released into the public domain.",
+    "spdx": "SPDX-License-Identifier:MIT",
+}
+
+
+def test_every_known_sentence_passes_the_prefilter():
+    assert set(KNOWN) == set(licenses.SENTENCES)
+    for name, text in KNOWN.items():
+        assert [x[3] for x in licenses.identify(text)] == [name], text
+    assert [x[3] for x in licenses.identify("Released under_CC_BY-4.0.")] == ["cc.by"]
+
+
 def test_rules_need_their_order():
     found = licenses.identify("you may not use this file except in compliance with the License.\nLicensed under the Apache License, Version 2.0")
     assert [x[0] for x in licenses.recognise(found)] == ["Apache-2.0"]

@@ -98,8 +98,8 @@ _CUT = re.compile(r"[\r\n]+|(?<=[.;:!?])\s+")
 _JUNK = re.compile(r"[^a-z0-9.]+")
 _DOT = re.compile(r"\.(?![0-9])|(?<![0-9])\.")
 _SPACES = re.compile(r" +")
-#: A text without any of these stems has no known sentence.
-_STEMS = re.compile(r"licen[cs]e|permission|copyright|redistribut|software|reserved|creative commons|mpl|spdx|either version|neither the name|\bcc0", re.I)
+#: A text without any of these stems has no known sentence: each is part of one normalised word, whatever stands between words.
+_STEMS = re.compile(r"licen[cs]e|permission|copyright|redistribut|software|reserved|creative|mpl|spdx|either|(?<![a-z0-9])cc(?:0|(?![a-z0-9]))", re.I | re.A)
 _ID = re.compile("|".join(f"(?P<s{i}>{p})" for i, p in enumerate(SENTENCES.values())))
 _NAMES = list(SENTENCES)
 
