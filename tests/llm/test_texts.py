@@ -99,6 +99,90 @@ def test_every_known_sentence_passes_the_prefilter():
     assert [x[3] for x in licenses.identify("Released under_CC_BY-4.0.")] == ["cc.by"]
 
 
+MIT_TERMS = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+"""
+ISC_TERMS = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+BSD_TERMS = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.
+"""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS.
+"""
+
+
+@pytest.mark.parametrize(
+    ("text", "licence", "sentences"),
+    [
+        (MIT_TERMS, "MIT", ["mit.grant", "mit.notice", "asis.mit"]),
+        (GPL_HEADER, "GPL-or-later", ["gpl.free", "gpl.later"]),
+        (GPL_HEADER.replace("software:", "software;"), "GPL-or-later", ["gpl.free", "gpl.later"]),
+        (MPL_HEADER, "MPL-2.0", ["mpl2.form", "mpl2.copy"]),
+        (ISC_TERMS, "ISC", ["isc.grant"]),
+        (BSD_TERMS, "BSD-3-Clause", ["bsd.redist", "bsd.source", "bsd.binary", "bsd.endorse", "bsd.asis"]),
+        (APACHE_HEADER, "Apache-2.0", ["apache2.release", "apache2.comply", "apache2.copy", "apache2.asis"]),
+        ("SPDX-License-Identifier: ISC\nint x;", "SPDX", ["spdx"]),
+        ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nMore", "GPL-2.0", ["gpl2.title"]),
+    ],
+)
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+def test_published_texts_are_recognised(text, licence, sentences, ends):
+    text = text.replace("\n", ends)
+    found = licenses.identify(text)
+    assert [x[3] for x in found] == sentences
+    assert [x[0] for x in licenses.recognise(found)] == [licence]
+
+
+def test_joined_lines_take_no_more_than_a_sentence():
+    text = "Released under the\nMIT License\nand more of it\nAll rights reserved\n\nReleased under the\n\nMIT License"
+    assert [(text[s:e], x) for _, s, e, x in licenses.identify(text)] == [("MIT License", "mit.title"), ("All rights reserved", "reserved"), ("MIT License", "mit.title")]
+    assert licenses.identify("Copyright of many\n" * 3000) == []
+
+
 def test_rules_need_their_order():
     found = licenses.identify("you may not use this file except in compliance with the License.\nLicensed under the Apache License, Version 2.0")
     assert [x[0] for x in licenses.recognise(found)] == ["Apache-2.0"]

@@ -1,8 +1,10 @@
 """Licence scans by sentence rules: sentences -> identifiers -> ordered rules.
 
-A text is cut into sentences (at line ends, and after ``.``, ``;``, ``:``, ``!`` or ``?`` before white space), each is
-normalised (lower case, letters, digits and dots in version numbers only, single spaces) and looked up among the known
-sentences. Known sentences are exact, or patterns that must match the whole normalised sentence. The identifiers found,
+A text is cut into pieces (at line ends, after ``.``, ``;``, ``:``, ``!`` or ``?`` before white space, and before
+``either version`` after a comma). From each piece on, the fewest pieces that make a known sentence are joined: wrapped
+lines, ``v. 2.0`` and ``software: you can`` don't end one, but an empty line does, and so does a piece that is known by itself.
+What is joined is normalised (lower case, letters, digits and dots in version numbers only, single spaces). Known sentences
+are exact, or patterns that must match all of it. Other lines are one sentence up to one that ends with a mark. The identifiers found,
 in the text's order, are then matched against the rules, most specific first: a rule is a sequence of identifiers that
 must occur in that order with at most ``gap`` other sentences between two of them. Identifiers that one rule has used are
 not offered to the next, so that a text's licences don't count twice.
@@ -94,7 +96,9 @@ RULES = (
     ("All-rights-reserved", ("reserved",)),
 )
 
-_CUT = re.compile(r"[\r\n]+|(?<=[.;:!?])\s+")
+_CUT = re.compile(r"[\r\n]+|(?<=[.;:!?])\s+|(?<=,)\s+(?=either\s+version\b)", re.I)
+_WORD = re.compile(r"[a-z0-9]", re.I | re.A)
+_LINE_END = re.compile(r"\r\n|\r|\n")
 _JUNK = re.compile(r"[^a-z0-9.]+")
 _DOT = re.compile(r"\.(?![0-9])|(?<![0-9])\.")
 _SPACES = re.compile(r" +")
@@ -109,19 +113,68 @@ def normalise(sentence: str) -> str:
     return _SPACES.sub(" ", _DOT.sub(" ", _JUNK.sub(" ", sentence.lower()))).strip()
 
 
+#: First words of known sentences, and the most characters that one has up to where an open end begins.
+_FIRST = re.compile(r"[^a-z0-9]*(?:released|licensed|available|distributed|dedicated|the|mit|expat|permission|apache|you|unless|this|gnu|either|if|redistributions?|[123]|neither|copyright|all|spdx)(?![a-z0-9])", re.I | re.A)
+_CLOSED = [re.sub(r"(?:\.\*|\[a-z0-9\. \]\+)$", "", p) for p in SENTENCES.values()]
+_WIDEST = 2 + max(re._parser.parse(p).getwidth()[1] for p in _CLOSED if ".*" not in p)
+#: Sentences with an open middle, which have no most characters: they are joined to the end of their lines.
+_OPEN = ("copyright ", "neither the name of ", "3 neither the name of ", "this software is provided by ")
+
+
+def _known(sentence: str) -> str | None:
+    m = _ID.fullmatch(normalise(sentence))
+    return _NAMES[int(m.lastgroup[1:])] if m else None
+
+
 def identify(text: str | None) -> list[tuple[int, int, int, str]]:
     """(sentence number, start, end, identifier) of the known sentences of a text."""
     if not text or not _STEMS.search(text):
         return []
-    found, at, n = [], 0, 0
+    # (start, end, whether a sentence may go on in the next piece, whether it does so over a line end alone)
+    parts: list[tuple[int, int, bool, bool]] = []
+    at = 0
     for cut in [*_CUT.finditer(text), None]:
         end = cut.start() if cut else len(text)
         if end > at:
-            sentence = text[at:end]
-            if _STEMS.search(sentence) and (m := _ID.fullmatch(normalise(sentence))):
-                found.append((n, at, end, _NAMES[int(m.lastgroup[1:])]))
-            n += 1
+            on = cut is not None and len(_LINE_END.findall(cut.group())) < 2 and _WORD.search(text, at, end) is not None
+            parts.append((at, end, on, on and text[end - 1] not in ".;:!?" and cut.group()[0] in "\r\n"))
+        elif parts:
+            parts[-1] = (*parts[-1][:2], False, False)
         at = cut.end() if cut else end
+    alone: dict[int, str | None] = {}
+
+    def single(i: int) -> str | None:
+        if i not in alone:
+            alone[i] = _known(text[parts[i][0] : parts[i][1]]) if _FIRST.match(text, parts[i][0], parts[i][1]) else None
+        return alone[i]
+
+    found, n, i, fresh, tried = [], -1, 0, True, set()
+    while i < len(parts):
+        if fresh:
+            n, tried = n + 1, set()
+        name, last = single(i), i
+        if name is None and _FIRST.match(text, parts[i][0], parts[i][1]):
+            words = normalise(text[parts[i][0] : parts[i][1]])
+            while name is None and len(words) <= _WIDEST and parts[last][2] and single(last + 1) is None:
+                last += 1
+                words = normalise(text[parts[i][0] : parts[last][1]])
+                m = _ID.fullmatch(words)
+                name = _NAMES[int(m.lastgroup[1:])] if m else None
+            opening = next((x for x in _OPEN if words.startswith(x)), None)
+            if name is None and opening and opening not in tried:  # an earlier one of these lines would have matched, too
+                tried.add(opening)
+                last = i
+                while parts[last][3] and single(last + 1) is None:
+                    last += 1
+                name = _known(text[parts[i][0] : parts[last][1]])
+        if name is None:
+            fresh = not parts[i][3]
+            i += 1
+            continue
+        if not fresh:  # it ends what lines came before
+            n += 1
+        found.append((n, parts[i][0], parts[last][1], name))
+        i, fresh = last + 1, True
     return found
 
 
