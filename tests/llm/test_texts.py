@@ -432,3 +432,19 @@ def test_gibbs_keeps_tables_within_customers():
         assert ((t >= np.minimum(c, 1)) & (t <= c)).all()
     chance = hpyp.alone(0.7)
     assert abs(chance[2, 2] - 1) < 1e-12 and chance[5, 1] == 0 and abs(chance[3, 2] - (2 * 0.3) / (0.3 + 2 * 0.3) * 0.5 * 1.0) < 1
+
+
+@pytest.mark.parametrize(("n", "w"), [(40, 3.0), (1000, 0.5), (1000, 60.0)])
+def test_gibbs_seats_frequent_dishes_from_their_conditional(n, w):
+    """Whatever the start, one sweep of 6 moves gives the mean of S(n, t) w^t over all numbers of tables."""
+    d, t = 0.75, np.arange(n + 1)
+    log = np.full(n + 1, -np.inf)
+    log[1] = 0.0
+    for c in range(1, n):
+        log[1:] = np.logaddexp(log[1:] + np.log(np.maximum(c - d * t[1:], 1e-300)), log[:-1])
+    p = np.exp(log[1:] + t[1:] * math.log(w) - (log[1:] + t[1:] * math.log(w)).max())
+    p /= p.sum()
+    mean, deviation = p @ t[1:], math.sqrt(p @ t[1:] ** 2 - (p @ t[1:]) ** 2)
+    for start in (1, n):
+        got = hpyp.gibbs(np.full(2000, n), np.full(2000, start), np.full(2000, w), d, np.random.default_rng(5), 6)
+        assert abs(got.mean() - mean) < 0.12 * deviation and abs(got.std() / deviation - 1) < 0.1
