@@ -57,3 +57,10 @@ def test_search(spark):
     few = search(frame(spark, rows[:3]), F.col("id") == 0, k=20).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2]
     assert search(frame(spark, rows).where("false"), F.col("id") == 0).count() == 0
+
+
+def test_negative_ids_are_linked(spark):
+    rows = [(-7, [1.0, 0.0]), (-3, [1.0, 0.01]), (4, [1.0, 0.02]), (9, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(df, cells=1).collect()}
+    assert got == {-7: (2, -7, True), -3: (2, -7, False), 4: (2, -7, False), 9: (0, 9, True)}

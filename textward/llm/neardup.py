@@ -162,7 +162,7 @@ def _blocked(one: DataFrame, centroids: np.ndarray, least: float, block: int) ->
     rows_in = sides[0].select("cell", F.col("i").cast("int").alias("i"), "j", "left", "u", "v", "copies", "x").union(sides[1])
 
     def product(t: pa.Table) -> pa.Table:
-        out: dict[str, list[np.ndarray]] = {"u": [], "v": [], "n": [], "w": []}
+        out: dict[str, list[np.ndarray]] = {"u": [], "v": [], "n": [], "w": [], "none": []}  # none: a row without a link
         left = t.column("left").to_numpy(zero_copy_only=False).astype(bool)
         u, v, copies = (t.column(c).to_numpy() for c in ("u", "v", "copies"))
         x = rows(t.column("x").combine_chunks())
@@ -173,10 +173,10 @@ def _blocked(one: DataFrame, centroids: np.ndarray, least: float, block: int) ->
             same = u[ai][:, None] == u[b][None, :]
             other = hit & ~same
             n = other @ copies[b] + np.where(same.any(axis=1), copies[ai] - 1, 0)
-            out["u"].append(u[ai]), out["v"].append(v[ai]), out["n"].append(n), out["w"].append(np.full(len(ai), -1))
+            out["u"].append(u[ai]), out["v"].append(v[ai]), out["n"].append(n), out["w"].append(np.zeros(len(ai), np.int64)), out["none"].append(np.ones(len(ai), dtype=bool))
             for ids, root in spanning(other, v[ai], v[b]):
-                out["u"].append(ids), out["v"].append(ids), out["n"].append(np.zeros(len(ids), np.int64)), out["w"].append(root)
+                out["u"].append(ids), out["v"].append(ids), out["n"].append(np.zeros(len(ids), np.int64)), out["w"].append(root), out["none"].append(np.zeros(len(ids), dtype=bool))
         cat = {c: np.concatenate(p) if p else np.zeros(0, np.int64) for c, p in out.items()}
-        return pa.table({"u": cat["u"].astype(np.int64), "v": cat["v"].astype(np.int64), "n": cat["n"].astype(np.int64), "w": pa.array(cat["w"].astype(np.int64), mask=cat["w"] < 0) if len(cat["w"]) else pa.array([], pa.int64())})
+        return pa.table({"u": cat["u"].astype(np.int64), "v": cat["v"].astype(np.int64), "n": cat["n"].astype(np.int64), "w": pa.array(cat["w"].astype(np.int64), mask=cat["none"]) if len(cat["w"]) else pa.array([], pa.int64())})
 
     return rows_in.groupBy("cell", "i", "j").applyInArrow(product, "u long, v long, n long, w long")
