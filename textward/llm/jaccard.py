@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textward.llm.common import drop, mix, pieces, save, text_buffer, tidy, word_hashes
+from textward.llm.common import drop, mix, pieces, save, small_batches, text_buffer, tidy, word_hashes
 from textward.llm.components import components, spanning
 
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -166,7 +166,7 @@ def _scan(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
                 go = fresh[row]
                 keys.append(place[go]), fs.append(f[row[go]])
                 held += int(go.sum())
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield dealt(keys, fs)
                     keys, fs, held = [], [], 0
         if held:
@@ -263,25 +263,33 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "f long, s binary").join(wanted, "f", "left_semi").dropDuplicates(["f"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, p) -> (x, p, nx, np, common), exactly."""
+def _verify(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """(x, p) -> (x, p, nx, np, common), exactly.
+
+    A pivot's pairs are dealt to parts of about ``most`` bytes of sets; each part gets the pivot's set once, before the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        held = np.zeros(0, np.uint64)
         for b in batches:
-            nx, n_p, common = [], [], []
-            for p, sx, sp in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                x = np.frombuffer(sx.as_buffer(), dtype=np.uint64)
-                if p != last:
-                    last, held = p, np.frombuffer(sp.as_py(), dtype=np.uint64)
-                at = np.searchsorted(held, x)
+            xs, ps, nx, n_p, common = [], [], [], [], []
+            for p, x, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if x is None:
+                    held = np.frombuffer(s.as_py(), dtype=np.uint64)
+                    continue
+                own = np.frombuffer(s.as_buffer(), dtype=np.uint64)
+                at = np.searchsorted(held, own)
                 at[at == len(held)] = 0
-                nx.append(len(x)), n_p.append(len(held)), common.append(int((held[at] == x).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(v, pa.int64()) for v in (nx, n_p, common)]], ["x", "p", "nx", "np", "common"])
+                xs.append(x), ps.append(p), nx.append(len(own)), n_p.append(len(held)), common.append(int((held[at] == own).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (xs, ps, nx, n_p, common)], ["x", "p", "nx", "np", "common"])
 
-    with_x = pairs.join(sets.select(F.col("f").alias("x"), F.col("s").alias("sx")), "x")
-    both = with_x.join(sets.select(F.col("f").alias("p"), F.col("s").alias("sp")), "p")
-    return both.select("x", "p", "sx", "sp").mapInArrow(run, "x long, p long, nx long, np long, common long")
+    weighed = pairs.join(sizes.withColumnRenamed("f", "x"), "x")
+    parts = weighed.groupBy("p").agg(F.ceil(F.sum(F.col("n") * 8) / most).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "p").select("p", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"), "x")
+    others = dealt.join(sets.withColumnRenamed("f", "x"), "x").select("p", "part", "x", "s")
+    pivots = parts.join(sets.withColumnRenamed("f", "p"), "p").select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("x"), "s")
+    both = pivots.union(others).repartition("p", "part").sortWithinPartitions("p", "part", F.col("x").asc_nulls_first())
+    return both.select("p", "x", "s").mapInArrow(run, "x long, p long, nx long, np long, common long")
 
 
 def _linked(v: DataFrame, percent: int) -> DataFrame:
@@ -291,8 +299,18 @@ def _linked(v: DataFrame, percent: int) -> DataFrame:
 def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", few: int = 16) -> DataFrame:
     """Per row: the key, n_shingles and component_id, the smallest key reachable by links."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    buckets = max(8, 2 * slim._jdf.queryExecution().toRdd().getNumPartitions())
+    with small_batches(spark):
+        own, of = _classes(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), words, percent, few)
+    out = own.join(of, "f", "left")
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _classes(slim: DataFrame, words: int, percent: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, f) of all rows, and (f, component_id) of all points."""
+    spark = slim.sparkSession
+    read = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, read >> 23)  # a bucket has the places of about 8 MB of text
     scanned, scan_path = save(_scan(slim, words, percent, buckets))
     own, _ = save(scanned.where("bucket is null").select("id", "n", "f"))
     cells = scanned.where("bucket is not null").select("bucket", "keys", "fs").groupBy("bucket").applyInArrow(lambda t: _cells(t), "cell long, f long")
@@ -302,13 +320,15 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, key: str
     sets, sets_path = save(_sets_of(slim, cells.select("f").distinct(), words))
     tidy(spark)
     # a pivot is the place's point with most copies: edited copies lie around the text that they were made from
-    copies = own.groupBy("f").agg((-F.count(F.lit(1))).alias("c"))
+    copies = own.groupBy("f").agg((-F.count(F.lit(1))).alias("c"), F.first("n").alias("n"))
+    sizes = copies.select("f", "n")
     pivots = cells.join(copies, "f").groupBy("cell").agg(F.min(F.struct("c", "f"))["f"].alias("p"))
-    pairs = cells.join(pivots, "cell").where("f <> p").select(F.col("f").alias("x"), "p").distinct()
-    known, known_path = save(_verify(pairs, sets))
+    pairs, pairs_path = save(cells.join(pivots, "cell").where("f <> p").select(F.col("f").alias("x"), "p").distinct())
+    known, known_path = save(_verify(pairs, sets, sizes))
+    drop(spark, pairs_path)
     tidy(spark)
     edges, edges_path = save(_linked(known, percent))
-    roots, roots_path = save(components(edges))
+    roots, _ = save(components(edges))
     member = cells.join(roots.withColumnRenamed("v", "f"), "f", "left").select("cell", "f", F.coalesce("root", "f").alias("root"))
     spread = member.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     member, member_path = save(member.join(spread.select("cell", "size"), "cell"))
@@ -316,7 +336,8 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, key: str
     left, right = small.select("cell", F.col("f").alias("x"), F.col("root").alias("rx")), small.select("cell", F.col("f").alias("p"), F.col("root").alias("rp"))
     tried = left.join(right, "cell").where("x > p and rx <> rp").select("x", "p").distinct()
     done = known.select("x", "p").union(known.select(F.col("p").alias("x"), F.col("x").alias("p")))
-    more, more_path = save(_linked(_verify(tried.join(done, ["x", "p"], "left_anti"), sets), percent).union(_regions(member.where(F.col("size") > few), pivots, known, sets, percent)))
+    tried, tried_path = save(tried.join(done, ["x", "p"], "left_anti"))
+    more, more_path = save(_linked(_verify(tried, sets, sizes), percent).union(_regions(member.where(F.col("size") > few), pivots, known, sets, sizes, percent)))
     tidy(spark)
     if not more.isEmpty():
         roots, _ = save(components(edges.union(more)))
@@ -324,18 +345,16 @@ def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, key: str
     name = name.join(roots.select(F.col("v").alias("f"), "root"), "f", "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     names = name.groupBy("root").agg(F.min("least").alias("component_id"))
     of, _ = save(name.join(names, "root").select("f", "component_id"))
-    drop(spark, cells_path, sets_path, known_path, edges_path, member_path, more_path)
+    drop(spark, cells_path, sets_path, known_path, edges_path, member_path, tried_path, more_path)
     tidy(spark)
-    out = own.join(of, "f", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return own, of
 
 
-def _regions(member: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+def _regions(member: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, block: int = 512, most: int = 4 << 20) -> DataFrame:
     """Links across components inside large places: (a, b) edges that span them.
 
     A point's region is that of its most used pivot, cut in bands by the distance to the pivot, each as wide as
-    the radius, and in blocks of about ``block`` points. Points within the radius lie in the same or in neighbouring bands of
+    the radius, and in blocks of about ``block`` points or ``most`` bytes of sets. Points within the radius lie in the same or in neighbouring bands of
     a region; blocks of different regions meet where they share a place. A task compares two blocks, and no pair leaves
     it, but a spanning set of the links.
     """
@@ -345,8 +364,8 @@ def _regions(member: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataF
     home = under.join(weight, "p").groupBy("f").agg(F.max(F.struct("w", "p"))["p"].alias("p"), F.first("root").alias("root"))
     distance = known.select(F.col("x").alias("f"), "p", (1 - F.col("common") / (F.col("nx") + F.col("np") - F.col("common"))).alias("d"))
     placed = home.join(distance, ["f", "p"], "left")  # a pivot has no distance to itself: 0
-    placed = placed.select("f", "root", "p", F.floor(F.coalesce("d", F.lit(0.0)) / (radius + 1e-9)).alias("band"))
-    number = placed.groupBy("p", "band").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    placed = placed.join(sizes, "f").select("f", "root", "p", "n", F.floor(F.coalesce("d", F.lit(0.0)) / (radius + 1e-9)).alias("band"))
+    number = placed.groupBy("p", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") * 8 / most)).alias("blocks"))
     placed = placed.join(number, ["p", "band"]).withColumn("block", F.xxhash64("p", "band", F.pmod(F.xxhash64("f"), F.col("blocks"))))
     placed, _ = save(placed.select("f", "root", F.col("p").alias("region"), "band", "block"))
     meets = member.select("cell", "f").join(placed.select("f", "region", "band", "block"), "f").select("cell", "region", "band", "block").distinct()
