@@ -33,6 +33,11 @@ from pyspark.sql import types as T
 from textward.llm.common import drop, save, tidy
 
 
+def _merge(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the input: sorted and merged at every size, never sent to all tasks."""
+    return df.hint("merge")
+
+
 def _windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """For each line, in how many lines from it on, and up to it, there are ``least`` words; 0: never."""
     sums = np.concatenate([[0], np.cumsum(words)])
@@ -76,16 +81,16 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     spark = docs.sparkSession
     lines, lines_path = save(_lines(docs, min_words).withColumn("gid", F.monotonically_increasing_id()))
     shared = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    active, active_path = save(lines.join(shared, "h"))
+    active, active_path = save(lines.join(_merge(shared), "h"))
     longest = active.agg(F.greatest(F.max("ahead"), F.max("behind"))).first()[0] or 0
     level, path = save(active.select("gid", "after", F.col("h").alias("r")))
     levels, paths, k = [level.withColumn("k", F.lit(0))], [path], 0
     while 2 << k <= longest:
         step = 1 << k
         second = level.select((F.col("gid") - step).alias("gid"), F.col("r").alias("r2"))
-        pairs, pairs_path = save(level.where(F.col("after") >= step).join(second, "gid"))
+        pairs, pairs_path = save(level.where(F.col("after") >= step).join(_merge(second), "gid"))
         names = pairs.groupBy("r", "r2").agg(F.count(F.lit(1)).alias("n"), F.min("gid").alias("name")).where("n > 1").drop("n")
-        level, path = save(pairs.join(names, ["r", "r2"]).select("gid", "after", F.col("name").alias("r")))
+        level, path = save(pairs.join(_merge(names), ["r", "r2"]).select("gid", "after", F.col("name").alias("r")))
         drop(spark, pairs_path)
         k += 1
         if level.isEmpty():
@@ -101,10 +106,10 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     ending = active.where("behind > 0").select("doc", "uid", (F.col("idx") - F.col("behind") + 1).alias("idx"), (F.col("gid") - F.col("behind") + 1).alias("gid"), F.col("behind").alias("len"))
     windows = whole.union(ending).distinct().withColumn("k", F.floor(F.log2(F.col("len") + 0.5)).cast("int"))
     windows = windows.withColumn("gid2", F.col("gid") + F.col("len") - F.expr("shiftleft(1, k)"))
-    found = windows.join(ranks.withColumnRenamed("r", "r1"), ["gid", "k"]).join(ranks.select(F.col("gid").alias("gid2"), "k", F.col("r").alias("r2")), ["gid2", "k"])
+    found = windows.join(_merge(ranks.withColumnRenamed("r", "r1")), ["gid", "k"]).join(_merge(ranks.select(F.col("gid").alias("gid2"), "k", F.col("r").alias("r2"))), ["gid2", "k"])
     found, found_path = save(found)
     first = found.groupBy("len", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "gid")).alias("first")).where("n > 1").drop("n")
-    later = found.join(first, ["len", "r1", "r2"]).where(
+    later = found.join(_merge(first), ["len", "r1", "r2"]).where(
         (F.struct("doc", "gid") > F.col("first")) & ((F.col("gid") >= F.col("first.gid") + F.col("len")) | (F.col("gid") < F.col("first.gid")))
     )
     spans, _ = save(later.select("uid", F.col("idx").alias("first"), (F.col("idx") + F.col("len") - 1).alias("last")).distinct())
@@ -148,7 +153,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text:
     held, _ = save(packed.withColumn("uid", F.monotonically_increasing_id()))  # row numbers hold only for a written table
     spans = repeated_runs(held.select("doc", "uid", "text"), min_words)
     per = spans.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # at most two windows a line
-    joined = held.join(per, "uid", "left").select("row", "text", "spans")
+    joined = held.join(_merge(per), "uid", "left").select("row", "text", "spans")
     result = T.StructType([*joined.schema[:2], T.StructField("n_lines", T.IntegerType()), T.StructField("n_deleted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
