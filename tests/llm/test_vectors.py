@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from textward.llm.mih import search
+from textward.llm.mih import Codes, Tables, search
 from textward.llm.neardup import near_duplicates
 
 
@@ -64,3 +64,38 @@ def test_negative_ids_are_linked(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(df, cells=1).collect()}
     assert got == {-7: (2, -7, True), -3: (2, -7, False), 4: (2, -7, False), 9: (0, 9, True)}
+
+
+def test_search_of_repeated_rows_and_ties(spark):
+    """A query asks once, however often its row is repeated; each other row is a candidate; ties go to the smaller id."""
+    x = sample(80)
+    rows = [(i, [float(v) for v in r], 0, "a") for i, r in enumerate(x)]
+    rows += [rows[20], (20, [float(v) for v in x[3]], 0, "a"), rows[7], (500, rows[9][1], 0, "a")]
+    ids, vectors = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float32).astype(float)
+    got = search(frame(spark, rows).repartition(3), F.col("id") % 20 == 0, k=12, margin=9.0).collect()
+    assert sorted({r["query_id"] for r in got}) == [0, 20, 40, 60, 500]
+    for q in (0, 20, 40, 60, 500):
+        score = (vectors @ vectors[ids == q].T).max(axis=1)
+        at = np.flatnonzero(ids != q)
+        best = [(int(ids[i]), float(score[i])) for i in at[np.lexsort((ids[at], -score[at]))][:12]]
+        mine = [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
+        assert [v for v, _ in mine] == [v for v, _ in best] and all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(mine, best, strict=True))
+
+
+def test_every_code_within_the_radius_is_retrieved_and_few_others():
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((200, 32))
+    x = np.repeat(centres, 40, axis=0) + 0.3 * rng.standard_normal((8000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = Codes(x[::3], float(np.linalg.norm(x, axis=1).max()), 256)
+    tables, asked = Tables(codes.of(x)), codes.of(x[::200], query=True)
+    share, hits = [], 0
+    for code, i in zip(asked, range(0, 8000, 200), strict=True):
+        for r in (0, 1, 2, 5):
+            near = set(tables.near(code, r).tolist())
+            assert set(np.flatnonzero(tables.distance(code, np.arange(8000)) <= 16 * r + 15).tolist()) <= near
+        allowed = np.arange(8000) != i
+        at, score, seen = tables.nearest(code, x, x[i], allowed, 20, 256, codes.norm, 1.0)
+        share.append(seen / 8000)
+        hits += len(set(at.tolist()) & set(np.argsort(-np.where(allowed, x @ x[i], -np.inf))[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(asked) and np.mean(share) < 0.2
