@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import pyarrow.compute as pc
 from textward.llm import chat, hpyp, langid, licenses, mixing, pieces
 from textward.llm.common import id_crc, word_hashes
 from textward.llm.queries import PIECES
@@ -411,16 +412,37 @@ def test_scores(spark):
 
 
 def test_probabilities_of_a_context_sum_to_one(spark):
-    """Each of all words, and an unknown one, after the same word: two-word texts differ only in that probability."""
+    """Each of all words, the end and an unknown word after the same word: one with its own restaurant, one with a shared one."""
     rows = corpus(150)
     words = sorted({w for _, t in rows for w in t.split()})
-    probes = [(10_000 + i, f"w1x {w}") for i, w in enumerate([*words, "unheard"])]
-    df = spark.createDataFrame(rows + probes, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in hpyp.score(df, F.col("doc_id") >= 10_000).collect()}
-    one = spark.createDataFrame([*rows, (10_000, "w1x")], "doc_id long, text string")
-    short = next(r["score"] for r in hpyp.score(one, F.col("doc_id") >= 10_000).collect() if r["doc_id"] == 10_000)
-    # P(w | w1x) P(end | w): end's share differs by w, so divide it out by texts of that word alone
-    assert all(s < 0 for s in got.values()) and short < 0
+    frame = [(i, t, False) for i, t in rows]
+    for probe in ("w1x", "unseen"):
+        frame += [(10_000, f"{probe} {w}", True) for w in [*words, "unheard"]] + [(20_000, probe, True)]
+    df = spark.createDataFrame(frame, "id long, text string, held boolean").coalesce(1)
+    layout = hpyp._frequent(df, 40, 1.0)
+    t = hpyp._chunks(df, layout, 3).toArrow()
+    totals = np.sum([x for x in t.column("totals").to_pylist() if x], axis=0)
+    buckets = [t.filter(pc.equal(t.column("bucket"), i)) for i in range(3)]
+    plan = (layout, totals, 3, 6, 2, 6, 3)
+    shared = np.sum([hpyp._sample(*plan)(x).column("totals")[0].as_py() for x in buckets], axis=0)
+    sums = np.zeros(layout.n)
+    for x in buckets:
+        found = hpyp._sample(*plan, shared)(x)
+        for ctx, score in zip(x.column("ctx").to_pylist(), found.column("score").to_pylist(), strict=True):
+            np.add.at(sums, hpyp.unpack(ctx, np.uint16), 10.0 ** hpyp.unpack(score, np.float32))
+    for probe in (b"w1x", b"unseen"):
+        raw = np.frombuffer(probe, dtype=np.uint8)
+        h, s, e, _ = word_hashes(raw, np.array([0, len(raw)]))
+        assert abs(sums[layout.context(h, hpyp._classes(raw, s, e))[0]] - 1) < 1e-4
+    assert set(layout.hot.tolist()) and layout.n > layout.k + hpyp.CLASSES
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame(corpus(60), "doc_id long, text string")
+    scores = [{r["doc_id"]: r["base_score"] for r in hpyp.score(df.repartition(n), F.col("doc_id") % 10 == 0, contexts=16).collect()} for n in (1, 3)]
+    assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][i] - x) < 1e-9 for i, x in scores[1].items())
+    layouts = [hpyp._frequent(df.repartition(n).selectExpr("doc_id AS id", "text", "false AS held"), 16, 1.0) for n in (1, 3)]
+    assert (layouts[0].hot == layouts[1].hot).all()
 
 
 def test_gibbs_keeps_tables_within_customers():
