@@ -169,7 +169,7 @@ def train(docs: DataFrame, learnt: Column, key: str = "doc_id", text: str = "tex
     languages = sorted(per)
     if not languages:
         return Model([], np.ones(DIM), np.zeros((DIM, 1)), 1.0)
-    df, n = document_frequencies(rows.select("t"))
+    df, n = document_frequencies(labelled.select("t"))
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
     each = max(1, sample_rows // len(languages))
     chance = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 30))
