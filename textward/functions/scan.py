@@ -98,7 +98,7 @@ def _confidence(kind: str, m) -> float | None:
 
 
 def pii(text: str, kinds: tuple[str, ...] = tuple(C.PII)) -> list[tuple]:
-    """Findings of validated patterns, by start, longer ones first. Emails wider than their bound are not reported."""
+    """Findings of validated patterns, by start, longer ones first. An email may be wider than its usual bound."""
     out = []
     digits = next((n for n in (4, 3, 2, 1) if _DIGITS[n].search(text)), 0)
     for kind in kinds:
@@ -109,11 +109,22 @@ def pii(text: str, kinds: tuple[str, ...] = tuple(C.PII)) -> list[tuple]:
             sure = _confidence(kind, m)
             if sure is not None:
                 start, end = m.span(1 if kind == "api_key" else 0)
-                if end - start <= widest:
+                if kind == "email" or end - start <= widest:
                     out.append(("pii", kind, start, end, severity, sure, detail, []))
     return sorted(out, key=lambda f: (f[2], f[2] - f[3]))
 
 
+_LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]*\Z"), re.compile(r"(?:[A-Za-z0-9-]{1,63}\.)*[A-Za-z0-9-]{0,63}\Z")
+
+
+def unfinished_email(text: str) -> int:
+    """Where an email begins that the text's end may cut, whatever its width; the text's length if none does."""
+    at = text.rfind("@")
+    if at < 1 or not _DOMAIN.match(text, at + 1):
+        return len(text)
+    return _LOCAL.search(text, max(0, at - 64), at).start()
+
+
 @cache
 def _fold_char(ch: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKC", ch).casefold() if not unicodedata.combining(x))

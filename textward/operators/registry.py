@@ -17,12 +17,16 @@ class DetectorContractError(ValueError):
 
 @dataclass(frozen=True)
 class Detector:
-    """``scan`` maps a text to finding tuples; it must be stateless and picklable. ``widest`` bounds a finding's length."""
+    """``scan`` maps a text to finding tuples; it must be stateless and picklable. ``widest`` bounds a finding's length.
+
+    A detector with wider findings gives ``unfinished``: where in a text one may begin that the text's end cuts.
+    """
 
     name: str
     kinds: tuple[str, ...]
     widest: int
     scan: Callable[[str], list[tuple]] = field(compare=False)
+    unfinished: Callable[[str], int] | None = field(default=None, compare=False)
 
     def check(self) -> Detector:
         if not isinstance(self.name, str) or not re.fullmatch(r"[a-z][a-z0-9_]*", self.name):
@@ -40,7 +44,7 @@ def pii_detector(kinds: tuple[str, ...] | None = None) -> Detector:
     chosen = tuple(C.PII) if kinds is None else tuple(k for k in C.PII if k in kinds)
     if kinds is not None and (odd := sorted(set(kinds) - set(C.PII))):
         raise ValueError(f"unknown pii kinds: {', '.join(odd)}")
-    return Detector("pii", chosen, max((C.PII[k][2] for k in chosen), default=1), lambda text: scan.pii(text, chosen))
+    return Detector("pii", chosen, max((C.PII[k][2] for k in chosen), default=1), lambda text: scan.pii(text, chosen), scan.unfinished_email if "email" in chosen else None)
 
 
 def injection_detector() -> Detector:

@@ -81,11 +81,12 @@ def filtered(chunks: DataFrame, policy: Policy | None = None, stage: str = "outp
     return chunks.groupBy("stream_id").applyInPandasWithState(step, OUT, "kept string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def replayed(chunks: DataFrame, policy: Policy | None = None, stage: str = "output") -> DataFrame:
+def replayed(chunks: DataFrame, policy: Policy | None = None, stage: str = "output", stride: int = 1024) -> DataFrame:
     """The same filter over a finished table of chunks, a stream at a time in order of seq.
 
     stream_id, text, verdict, blocked, emitted, leaks, findings. Rows are sorted by stream within partitions, and state
-    lives for one stream only, so that memory is bounded by the window.
+    lives for one stream only; memory is bounded by the longest stream's text, which is a row of the result. Scans are
+    ``stride`` characters apart, since only whole texts are returned.
     """
     policy = policy or default()
     schema = "stream_id string, text string, verdict int, blocked boolean, emitted long, leaks int, n_findings int"
@@ -105,7 +106,7 @@ def replayed(chunks: DataFrame, policy: Policy | None = None, stage: str = "outp
                 if flt is None or stream != key:
                     if flt is not None:
                         rows.append(done())
-                    key, flt, parts = stream, StreamFilter(policy, stage), []
+                    key, flt, parts = stream, StreamFilter(policy, stage, stride=stride), []
                 parts.append(flt.feed(chunk or ""))
             yield pd.DataFrame(rows, columns=names)
         if flt is not None:
