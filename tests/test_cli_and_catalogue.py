@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__
 from textward import cli
+from textward.operators import metrics
 from textward.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -20,6 +21,10 @@ def test_cli(capsys, tmp_path):
     assert capsys.readouterr().out.strip() == "call [PHONE]"
     assert cli.main(["stream", "x", "--chunk-size", "0"]) == 2
     assert cli.main(["policy"]) == 0 and "holdback output: 514" in capsys.readouterr().out
+    assert cli.main(["policy", "validate"]) == 0 and capsys.readouterr().out.startswith("ok: ")
+    assert cli.main(["policy", "labels"]) == 0 and "pii.email" in capsys.readouterr().out.split()
+    assert cli.main(["policy", "validate", str(tmp_path / "none.yaml")]) == 2
+    assert cli.main(["demo"]) == 0 and "[PHONE]" in capsys.readouterr().out
     (tmp_path / "s.json").write_text('{"type": "object"}')
     assert cli.main(["repair", "{a: 1}", "--schema", str(tmp_path / "s.json")]) == 0
     assert cli.main(["repair", "no", "--schema", str(tmp_path / "s.json")]) == 1
@@ -28,6 +33,20 @@ def test_cli(capsys, tmp_path):
     assert cli.main(["scan", "x", "--policy", str(tmp_path / "none.yaml")]) == 2
 
 
+def test_tally(spark):
+    t = metrics.Tally()
+    name = t.declare("textward_schema_repair_attempts_total", "outcome")
+    assert t.declare(name, "outcome") == name
+    t.add(name, "clean"), t.add(name, "clean", amount=2)
+    assert t.value(name, "clean") == 3 and t.value(name, "failed") == 0
+    for wrong in (lambda: t.declare(name), lambda: t.add(name), lambda: t.value(name, "a", "b")):
+        with pytest.raises(ValueError):
+            wrong()
+    t.declare("textward_stream_leaks_total")
+    text = metrics.exposition(t.lines(spark)).first()["text"]
+    assert 'textward_schema_repair_attempts_total{outcome="clean"} 3\n' in text and "\ntextward_stream_leaks_total 0\n" in text
+
+
 def _rows(rows):
     show = lambda v: f"{float(v):.9g}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
     return sorted(tuple(show(v) for v in r) for r in rows)

@@ -162,3 +162,10 @@ def test_prefilters_lose_nothing():
     for text in ("１２３-45-6789", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "1.2.3.4", "password=abcdefghijklmnop"):
         raw = {k for k, p in C.COMPILED.pii.items() for m in p.finditer(text) if scan._confidence(k, m) is not None}
         assert raw == {k for k, _ in kinds(text)}
+
+
+def test_folding_that_changes_lengths(spark):
+    rows = ["plain", "ﬁne", "é", "e\u0301", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = {r["i"]: r["c"] for r in df.select("i", conformance.folding_changes_length(df.t).alias("c")).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: True, 4: None, 5: False}

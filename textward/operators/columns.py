@@ -120,6 +120,7 @@ def placeholder(strategy: Column, kind: Column, matched: Column, salt: str) -> C
         .when(strategy == "mask", masked(matched))
         .when(strategy == "partial", partial)
         .when(strategy == "hash", F.concat(F.lit("["), token, F.lit(":"), digest, F.lit("]")))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown redaction strategy: "), F.coalesce(strategy, F.lit("none")))))
     )
 
 

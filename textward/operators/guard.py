@@ -74,14 +74,21 @@ def holdback(policy: Policy, stage: str) -> int:
     return max((d.widest for d in detectors(policy, stage)), default=1)
 
 
-def guard(df: DataFrame, text: str = "text", policy: Policy | None = None, stage: str = "input", budget: bool = False, only: Iterable[registry.Detector] | None = None) -> DataFrame:
-    """Adds findings, decisions, verdict, text_out, original_length, budget_exceeded and skipped_detectors."""
+def guard(df: DataFrame, text: str = "text", policy: Policy | None = None, stage: str = "input", budget: bool = False, only: Iterable[registry.Detector] | None = None, timed: bool = False) -> DataFrame:
+    """Adds findings, decisions, verdict, text_out, original_length, budget_exceeded and skipped_detectors.
+
+    ``timed`` adds ms, milliseconds by detector, and elapsed_ms, their sum.
+    """
     policy = policy or default()
     active = list(only) if only is not None else detectors(policy, stage)
     t = F.col(text)
-    if budget and policy.budget.total_ms is not None:
-        out = df.withColumn("_scan", timed_findings(t, active, policy.budget.total_ms))
-        out = out.withColumn("findings", F.col("_scan.findings")).withColumn("skipped_detectors", F.col("_scan.skipped")).drop("_scan")
+    limit = policy.budget.total_ms if budget else None
+    if limit is not None or timed:
+        out = df.withColumn("_scan", timed_findings(t, active, limit))
+        out = out.withColumn("findings", F.col("_scan.findings")).withColumn("skipped_detectors", F.col("_scan.skipped"))
+        if timed:
+            out = out.withColumn("ms", F.col("_scan.ms")).withColumn("elapsed_ms", F.aggregate(F.map_values("ms"), F.lit(0.0), lambda a, v: a + v))
+        out = out.drop("_scan")
     else:
         out = df.withColumn("findings", findings(t, active)).withColumn("skipped_detectors", F.array().cast("array<string>"))
     return resolve(out, text, policy, stage)
@@ -115,8 +122,8 @@ def reasons() -> Column:
     return F.transform(blocking, lambda d: F.when(d["reason"] != "", d["reason"]).otherwise(F.concat(label(d), F.lit(" ("), d["rule"], F.lit(")"))))
 
 
-def result_json(include_text: bool = True) -> Column:
-    """An audit record of a checked row: findings never carry the matched text."""
+def result_json(include_text: bool = True, elapsed: bool = False) -> Column:
+    """An audit record of a checked row: findings never carry the matched text. ``elapsed`` needs rows checked with ``timed``."""
     found = F.transform(
         "findings",
         lambda f: F.struct(
@@ -127,4 +134,4 @@ def result_json(include_text: bool = True) -> Column:
     )
     made = F.transform("decisions", lambda d: F.struct(d["rule"].alias("rule"), columns.label_of(C.ACTIONS, d["action"]).alias("action"), d["finding"].alias("finding"), F.when(d["reason"] != "", d["reason"]).alias("reason")))
     fields = [F.col("stage"), F.col("policy"), columns.label_of(C.ACTIONS, F.col("verdict")).alias("verdict"), F.col("original_length"), found.alias("findings"), made.alias("decisions"), F.col("budget_exceeded"), F.when(F.size("skipped_detectors") > 0, F.col("skipped_detectors")).alias("skipped_detectors")]
-    return F.to_json(F.struct(*fields, *([F.col("text_out").alias("text")] if include_text else [])))
+    return F.to_json(F.struct(*fields, *([F.round("elapsed_ms", 3).alias("elapsed_ms")] if elapsed else []), *([F.col("text_out").alias("text")] if include_text else [])))

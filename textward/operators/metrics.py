@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textward.functions import catalog as C
+from textward.operators import guard
 from textward.operators.columns import label_of
+from textward.operators.policy import STAGES, Policy
 
 #: Names, kinds and help texts (with the engine's own prefix).
 METRICS = {
@@ -38,6 +40,33 @@ def budget_exceeded_total(checked: DataFrame) -> DataFrame:
     return checked.groupBy("stage").agg(F.count_if("budget_exceeded").alias("value")).where("value > 0")
 
 
+def repair_outcomes_total(repairs: DataFrame, column: str = "repair") -> DataFrame:
+    """Repairs by outcome: clean, repaired or failed."""
+    return repairs.groupBy(F.col(column)["outcome"].alias("outcome")).agg(F.count(F.lit(1)).alias("value"))
+
+
+def stream_totals(streams: DataFrame) -> DataFrame:
+    """(metric, value): chunks, blocked streams and leaks of a table of replayed streams."""
+    sums = streams.agg(F.sum("chunks").alias("chunks"), F.count_if("blocked").alias("blocks"), F.sum("leaks").alias("leaks"))
+    each = [F.struct(F.lit(f"textward_stream_{n}_total").alias("metric"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("value")) for n in ("chunks", "blocks", "leaks")]
+    return sums.select(F.inline(F.array(*each)))
+
+
+def holdback_gauge(spark: SparkSession, policy: Policy) -> DataFrame:
+    """(stage, value): characters that a stream of each stage withholds."""
+    return spark.createDataFrame([(s, guard.holdback(policy, s)) for s in STAGES], "stage string, value long")
+
+
+def detector_durations(timed: DataFrame) -> DataFrame:
+    """The histogram of seconds by detector of rows that were checked with ``timed``."""
+    return histogram(timed.select(F.explode("ms").alias("detector", "value")), F.col("value") / 1000, ["detector"])
+
+
+def check_durations(timed: DataFrame) -> DataFrame:
+    """The histogram of seconds by stage of rows that were checked with ``timed``."""
+    return histogram(timed, F.col("elapsed_ms") / 1000, ["stage"])
+
+
 def histogram(df: DataFrame, value: Column, labels: Iterable[str] = (), buckets: tuple[float, ...] = C.BUCKETS) -> DataFrame:
     """Cumulative bucket counts b0, b1, ..., with sum and count, by labels: one pass, partial sums before the shuffle."""
     counts = [F.count_if(value <= b).alias(f"b{i}") for i, b in enumerate(buckets)]
@@ -90,3 +119,39 @@ def exposition(lines: DataFrame) -> DataFrame:
     used = heads.join(lines.select("metric").distinct(), "metric", "left_semi")
     every = F.array_sort(F.collect_list(F.struct("metric", "rank", "line")))
     return used.union(lines).agg(F.concat(F.array_join(F.transform(every, lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
+
+
+class Tally:
+    """Counters of one driver, for what isn't a table: each name is declared once, with its labels."""
+
+    def __init__(self) -> None:
+        self._labels: dict[str, tuple[str, ...]] = {}
+        self._values: dict[tuple[str, tuple[str, ...]], float] = {}
+
+    def declare(self, name: str, *labels: str) -> str:
+        """The name; declaring it again with the same labels is fine, with others it is not."""
+        if self._labels.setdefault(name, labels) != labels:
+            raise ValueError(f"{name} is declared with labels {self._labels[name]}, not {labels}")
+        return name
+
+    def _at(self, name: str, values: tuple) -> tuple[str, tuple[str, ...]]:
+        if len(values) != len(self._labels[name]):
+            raise ValueError(f"{name} takes {len(self._labels[name])} label(s), got {len(values)}")
+        return name, tuple(map(str, values))
+
+    def add(self, name: str, *values: str, amount: float = 1.0) -> None:
+        at = self._at(name, values)
+        self._values[at] = self.value(name, *values) + amount
+
+    def value(self, name: str, *values: str) -> float:
+        return self._values.get(self._at(name, values), 0.0)
+
+    def lines(self, spark: SparkSession) -> DataFrame:
+        """The series as ``exposition`` takes them."""
+        out = None
+        for name, labels in sorted(self._labels.items()):
+            rows = [(*values, v) for (n, values), v in self._values.items() if n == name] or ([(0.0,)] if not labels else [])
+            schema = "".join(f"`{x}` string, " for x in labels) + "value double"
+            each = sample_lines(name, spark.createDataFrame(rows, schema), list(labels))
+            out = each if out is None else out.union(each)
+        return out if out is not None else spark.createDataFrame([], "metric string, rank string, line string")

@@ -84,12 +84,12 @@ def filtered(chunks: DataFrame, policy: Policy | None = None, stage: str = "outp
 def replayed(chunks: DataFrame, policy: Policy | None = None, stage: str = "output", stride: int = 1024) -> DataFrame:
     """The same filter over a finished table of chunks, a stream at a time in order of seq.
 
-    stream_id, text, verdict, blocked, emitted, leaks, findings. Rows are sorted by stream within partitions, and state
+    stream_id, text, verdict, blocked, emitted, leaks, n_findings, chunks. Rows are sorted by stream within partitions, and state
     lives for one stream only; memory is bounded by the longest stream's text, which is a row of the result. Scans are
     ``stride`` characters apart, since only whole texts are returned.
     """
     policy = policy or default()
-    schema = "stream_id string, text string, verdict int, blocked boolean, emitted long, leaks int, n_findings int"
+    schema = "stream_id string, text string, verdict int, blocked boolean, emitted long, leaks int, n_findings int, chunks int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, flt, parts = None, None, []
@@ -97,7 +97,7 @@ def replayed(chunks: DataFrame, policy: Policy | None = None, stage: str = "outp
         def done() -> tuple:
             parts.append(flt.close())
             s = flt.state
-            return key, "".join(parts), flt.verdict(), s.blocked, s.emitted, s.leaks, len(s.findings)
+            return key, "".join(parts), flt.verdict(), s.blocked, s.emitted, s.leaks, len(s.findings), s.chunks
 
         names = [c.split()[0] for c in schema.split(", ")]
         for pdf in batches:
