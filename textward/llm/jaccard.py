@@ -6,9 +6,10 @@ cells over a few global pivots would not tell them apart. Regions are therefore
 1. Equal sets are one point (a hash of the set), with its smallest id.
 2. Meeting places. If two sets are within the radius, their symmetric difference has at most ``D = radius / (1 - radius) *
    smaller`` elements. Dealt by hash to m = 17/12 D parts, at least m - D parts are then equal in both. Every point goes to a place for
-   each of its parts; parts with fewer than s elements are left out where fewer than m - D of a point's parts are that
-   small, so one equal part remains. m follows the size class of the smaller set; a point goes to the places of its own
-   class and of the class below. This loses no pair. Places with equal members are one place.
+   each of its parts but empty ones, of which it has e. So two such sets have at least m - D - e places in common, and
+   every point leaves the m - D - e - 1 places with most points: the common place with fewest stays common. Passages that
+   many texts share bring no texts together that way. m follows the size class of the smaller set; a point goes to the places
+   of its own class and of the class below. This loses no pair. Places with equal members are one place.
 3. Every place has a pivot, its smallest point. All members' distances to it are computed: those within the radius form
    its region.
 4. Places whose members are not all connected by now join recursively. In small ones the pairs across components are
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textward.llm.common import drop, mix, pieces, save, small_batches, text_buffer, tidy, word_hashes
@@ -84,11 +86,15 @@ def classes(percent: int, most: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def places(sets: np.ndarray, bounds: np.ndarray, percent: int = 85) -> tuple[np.ndarray, np.ndarray]:
-    """(place, row) of every row's meeting places."""
+def places(sets: np.ndarray, bounds: np.ndarray, percent: int = 85) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, row) of every row's meeting places, and how many of each row's places may go, by the parity of their class.
+
+    The last bit of a place is the parity of its size class.
+    """
     n = np.diff(bounds)
+    spared = np.zeros((2, len(n)), dtype=np.int64)
     if not len(n) or not n.max():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), spared
     tops = classes(percent, int(n.max()))
     own = np.searchsorted(tops, n)
     a, b = (mix(sets) >> np.uint64(38)).astype(np.float64), (mix(sets ^ _K) >> np.uint64(38)).astype(np.float64)
@@ -114,24 +120,24 @@ def places(sets: np.ndarray, bounds: np.ndarray, percent: int = 85) -> tuple[np.
         size = np.bincount(at, minlength=total)
         x, y = np.bincount(at, a[chosen], total), np.bincount(at, b[chosen], total)
         owner = np.repeat(np.arange(len(n)), parts)
-        spare = np.where(use, parts - differ, 0)
-        least = np.zeros(len(n), dtype=np.int64)
-        for s in (1, 2, 3):
-            small = np.bincount(owner[size < s], minlength=len(n))
-            least = np.where(small < spare, s, least)
-        go = size >= least[owner]
+        equal = np.where(use, parts - differ, 0) - np.bincount(owner[size == 0], minlength=len(n))
+        odd = level & 1
+        for bit in (0, 1):
+            spared[bit] = np.where(use & (odd == bit), np.maximum(equal - 1, 0), spared[bit])
+        go = (size > 0) | (equal[owner] < 1)  # where empty parts could be all that two sets share, they count
         o = owner[go]
         part = np.flatnonzero(go) - base[o]
         key = x[go].astype(np.uint64) * _K + y[go].astype(np.uint64)
         key = mix(key) + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + top[o].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        keys.append(mix(key ^ (size[go].astype(np.uint64) << np.uint64(48))))
+        key = mix(key ^ (size[go].astype(np.uint64) << np.uint64(48)))
+        keys.append((key & ~np.uint64(1)) | odd[o].astype(np.uint64))
         rows.append(o)
-    return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return (np.concatenate(keys), np.concatenate(rows), spared) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64), spared)
 
 
 def _scan(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
-    """A row per document (id, n, f) and rows (bucket, keys, fs) of meeting places."""
-    schema = "id long, n long, f long, bucket int, keys binary, fs binary"
+    """A row per document (id, n, f, spared by parity) and rows (bucket, keys, fs) of meeting places."""
+    schema = "id long, n long, f long, even long, odd long, bucket int, keys binary, fs binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def dealt(keys: list[np.ndarray], fs: list[np.ndarray]) -> pa.RecordBatch:
@@ -143,7 +149,7 @@ def _scan(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
         some = np.flatnonzero(np.diff(cut))
         none = pa.nulls(len(some), pa.int64())
         blobs = [pa.array([x[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()) for x in (k, f)]
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(some, pa.int32()), *blobs], names)
+        return pa.RecordBatch.from_arrays([none] * 5 + [pa.array(some, pa.int32()), *blobs], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fs, held, seen = [], [], 0, set()
@@ -154,8 +160,8 @@ def _scan(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
                 n = np.diff(bounds)
                 m = len(n)
                 empty = [pa.nulls(m, t) for t in (pa.int32(), pa.binary(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(f.view(np.int64)), *empty], names)
-                place, row = places(sets, bounds, percent)
+                place, row, spared = places(sets, bounds, percent)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(f.view(np.int64)), pa.array(spared[0]), pa.array(spared[1]), *empty], names)
                 fresh = np.zeros(m, dtype=bool)  # a set that this task has dealt out before stays at home
                 for i, x in enumerate(f.tolist()):
                     if x not in seen:
@@ -175,8 +181,11 @@ def _scan(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _cells(t: pa.Table) -> pa.Table:
-    """The places of one bucket with at least two points: (cell, f). A cell's name is a hash of its members."""
+def _cells(t: pa.Table, buckets: int) -> pa.Table:
+    """The places of one bucket with at least two points: (cell, f, size, times, odd).
+
+    A cell's name is a hash of its members and its parity; ``times`` places of the bucket are that cell.
+    """
     k = np.frombuffer(b"".join(t.column("keys").to_pylist()), dtype=np.uint32)
     f = np.frombuffer(b"".join(t.column("fs").to_pylist()), dtype=np.uint64)
     order = np.argsort(k, kind="stable")
@@ -188,19 +197,20 @@ def _cells(t: pa.Table) -> pa.Table:
     k, f = k[multi], f[multi]
     order = np.lexsort((f, k))
     k, f = k[order], f[order]
-    if len(k):
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])])
-        k, f = k[new], f[new]
-        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        size = np.diff(np.concatenate([start, [len(k)]]))
-        name = mix(np.add.reduceat(mix(f ^ _K), start) + size.astype(np.uint64))
-        _, first = np.unique(name, return_index=True)
-        pick = np.zeros(len(start), dtype=bool)
-        pick[first] = True
-        pick &= size > 1
-        go = np.repeat(pick, size)
-        return pa.table({"cell": np.repeat(name, size)[go].view(np.int64), "f": f[go].view(np.int64)})
-    return pa.table({"cell": pa.array([], pa.int64()), "f": pa.array([], pa.int64())})
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])])[: len(k)]
+    k, f = k[new], f[new]
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)])
+    size = np.diff(np.concatenate([start, [len(k)]]))
+    odd = (k[start].astype(np.int64) * buckets + (t.column("bucket")[0].as_py() if len(t) else 0)) & 1
+    name = mix(np.add.reduceat(mix(f ^ _K), start) + size.astype(np.uint64)) if len(k) else np.zeros(0, np.uint64)
+    name = mix(name + odd.astype(np.uint64))
+    _, first, times = np.unique(name, return_index=True, return_counts=True)
+    count = np.zeros(len(start), dtype=np.int64)
+    count[first] = times
+    count[size < 2] = 0
+    go = np.repeat(count > 0, size)
+    each = lambda x: np.repeat(x, size)[go]
+    return pa.table({"cell": each(name).view(np.int64), "f": f[go].view(np.int64), "size": each(size), "times": each(count), "odd": each(odd.astype(bool))})
 
 
 def _bitmap(values: DataFrame, column: str, bits: int = 26) -> np.ndarray:
@@ -312,9 +322,17 @@ def _classes(slim: DataFrame, words: int, percent: int, few: int) -> tuple[DataF
     read = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, read >> 23)  # a bucket has the places of about 8 MB of text
     scanned, scan_path = save(_scan(slim, words, percent, buckets))
-    own, _ = save(scanned.where("bucket is null").select("id", "n", "f"))
-    cells = scanned.where("bucket is not null").select("bucket", "keys", "fs").groupBy("bucket").applyInArrow(lambda t: _cells(t), "cell long, f long")
-    cells, cells_path = save(cells.distinct())
+    own, _ = save(scanned.where("bucket is null").select("id", "n", "f", "even", "odd"))
+    cells = scanned.where("bucket is not null").select("bucket", "keys", "fs").groupBy("bucket").applyInArrow(lambda t: _cells(t, buckets), "cell long, f long, size long, times long, odd boolean")
+    cells = cells.groupBy("cell", "f", "size", "odd").agg(F.sum("times").alias("times"))
+    # a point leaves its most frequented places, as many as it can spare
+    spared = own.groupBy("f").agg(F.first("even").alias("even"), F.first("odd").alias("many"))
+    ranked = cells.join(spared, "f").withColumn("rank", F.sum("times").over(W.partitionBy("f", "odd").orderBy(F.desc("size"), "cell")))
+    cells, cells_path = save(ranked.where(F.col("rank") > F.when(F.col("odd"), F.col("many")).otherwise(F.col("even"))).select("cell", "f"))
+    alone = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
+    cells, path = save(cells.join(alone, "cell"))
+    drop(spark, cells_path)
+    cells_path = path
     drop(spark, scan_path)
     tidy(spark)
     sets, sets_path = save(_sets_of(slim, cells.select("f").distinct(), words))
@@ -350,11 +368,11 @@ def _classes(slim: DataFrame, words: int, percent: int, few: int) -> tuple[DataF
     return own, of
 
 
-def _regions(member: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, block: int = 512, most: int = 4 << 20) -> DataFrame:
+def _regions(member: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, block: int = 2048, most: int = 8 << 20) -> DataFrame:
     """Links across components inside large places: (a, b) edges that span them.
 
-    A point's region is that of its most used pivot, cut in bands by the distance to the pivot, each as wide as
-    the radius, and in blocks of about ``block`` points or ``most`` bytes of sets. Points within the radius lie in the same or in neighbouring bands of
+    A point's region is that of its most used pivot. A region of more than ``block`` points or ``most`` bytes of sets is cut
+    in bands by the distance to the pivot, each as wide as the radius, and in blocks of about that size. Points within the radius lie in the same or in neighbouring bands of
     a region; blocks of different regions meet where they share a place. A task compares two blocks, and no pair leaves
     it, but a spanning set of the links.
     """
@@ -365,8 +383,9 @@ def _regions(member: DataFrame, pivots: DataFrame, known: DataFrame, sets: DataF
     distance = known.select(F.col("x").alias("f"), "p", (1 - F.col("common") / (F.col("nx") + F.col("np") - F.col("common"))).alias("d"))
     placed = home.join(distance, ["f", "p"], "left")  # a pivot has no distance to itself: 0
     placed = placed.join(sizes, "f").select("f", "root", "p", "n", F.floor(F.coalesce("d", F.lit(0.0)) / (radius + 1e-9)).alias("band"))
-    number = placed.groupBy("p", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") * 8 / most)).alias("blocks"))
-    placed = placed.join(number, ["p", "band"]).withColumn("block", F.xxhash64("p", "band", F.pmod(F.xxhash64("f"), F.col("blocks"))))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") * 8 / most))
+    placed = placed.join(placed.groupBy("p").agg((blocks == 1).alias("whole")), "p").withColumn("band", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("band")))
+    placed = placed.join(placed.groupBy("p", "band").agg(blocks.alias("blocks")), ["p", "band"]).withColumn("block", F.xxhash64("p", "band", F.pmod(F.xxhash64("f"), F.col("blocks"))))
     placed, _ = save(placed.select("f", "root", F.col("p").alias("region"), "band", "block"))
     meets = member.select("cell", "f").join(placed.select("f", "region", "band", "block"), "f").select("cell", "region", "band", "block").distinct()
     one = meets.select("cell", *[F.col(c).alias(f"{c}1") for c in ("region", "band", "block")])
