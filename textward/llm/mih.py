@@ -111,9 +111,10 @@ class Tables:
         while True:
             got = self.near(code, r)
             reach, whole = self.m * r + self.m - 1, len(got) == self.n
-            at = got if whole else got[self.distance(code, got) <= reach]
+            far = None if whole else self.distance(code, got)
+            at = got if whole else got[far <= reach]
             at = at[allowed[at]]
-            score = x[at] @ q
+            score = x[at] @ q if len(at) * 4 < self.n else (x @ q)[at]  # copying most rows takes longer than their products
             wanted = r + 1
             if len(at) >= min(k, most) and len(at):
                 last = np.partition(score, -min(k, len(at)))[-min(k, len(at))]
@@ -125,6 +126,10 @@ class Tables:
                 wanted = max(wanted, int(np.ceil((radius - self.m + 1) / self.m)))
             elif whole:
                 return at, score, len(got)
+            else:  # the k-th nearest code retrieved bounds how far the next probe has to reach
+                far = far[allowed[got]]
+                if len(far) >= k:
+                    wanted = max(wanted, -(-(int(np.partition(far, k - 1)[k - 1]) - self.m + 1) // self.m))
             r = min(16, wanted)
 
 
