@@ -1,24 +1,73 @@
 """Connected components over an edge table, by alternating large-star and small-star steps.
 
-Only joins and aggregates with partial sums; each round is written to the shared folder, which cuts the lineage.
-Hot vertices are keys of plain sort-merge joins, whose large partitions adaptive execution splits.
+Each round ends with a contraction inside every task, which needs no shuffle: edges that a task holds become stars around
+the smallest vertex that they reach. The rest is joins and aggregates with partial sums; each round is written to the shared
+folder, which cuts the lineage. Hot vertices are keys of plain sort-merge joins, whose large partitions adaptive execution splits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textward.llm.common import drop, save
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges' vertices but the smallest of each component, and that smallest one."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    below = root != np.arange(len(ids))
+    return ids[below], ids[root[below]]
+
+
+def contracted(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(u, v) edges that connect the same vertices: those of a task become stars, about ``most`` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            return stars(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= most:
+                u, v = joined()
+                held, n = [(u, v)], len(u)
+                if 2 * n > most:  # mostly edges of a forest: they go on as they are
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                    held, n = [], 0
+        if held:
+            u, v = joined()
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of longs -> (v, root): the smallest vertex that each vertex reaches; vertices without edges are absent."""
     spark = edges.sparkSession
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    e, path = save(e)
-    seen = None
+    e = contracted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")).distinct()
+    e, path = save(contracted(e))
+    state = lambda: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = state()
     while True:
         # large star: of all neighbours, each vertex hangs its larger ones below its smallest
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -30,13 +79,12 @@ def components(edges: DataFrame) -> DataFrame:
         tops = small.select("u", F.col("m").alias("v"))
         many = small.where("n > 1").select(F.col("u").alias("k"), "m")
         rest = large.join(many, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new, new_path = save(tops.union(rest).distinct())
+        new, new_path = save(contracted(tops.union(rest).distinct()))
         drop(spark, path, path_large)
         e, path = new, new_path
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
+        before, seen = seen, state()
+        if seen == before:
             return e.select(F.col("u").alias("v"), F.col("v").alias("root")).union(e.select("v", F.col("v").alias("root")).distinct())
-        seen = state
 
 
 def spanning(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -358,7 +358,7 @@ def _classes(slim: DataFrame, words: int, percent: int, few: int) -> tuple[DataF
     more, more_path = save(_linked(_verify(tried, sets, sizes), percent).union(_regions(member.where(F.col("size") > few), pivots, known, sets, sizes, percent)))
     tidy(spark)
     if not more.isEmpty():
-        roots, _ = save(components(edges.union(more)))
+        roots, _ = save(components(roots.where("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b")).union(more)))
     name = own.where("n > 0").groupBy("f").agg(F.min("id").alias("least"))
     name = name.join(roots.select(F.col("v").alias("f"), "root"), "f", "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     names = name.groupBy("root").agg(F.min("least").alias("component_id"))
