@@ -99,3 +99,35 @@ def test_every_code_within_the_radius_is_retrieved_and_few_others():
         share.append(seen / 8000)
         hits += len(set(at.tolist()) & set(np.argsort(-np.where(allowed, x @ x[i], -np.inf))[:20].tolist()))
     assert hits >= 0.9 * 20 * len(asked) and np.mean(share) < 0.2
+
+
+def test_near_duplicates_do_not_write_a_vector_for_every_cell(spark, monkeypatch, tmp_path):
+    """Vectors in all directions could have partners in all cells; tables stay as long as the input, links equal brute force."""
+    from pathlib import Path
+
+    from textward.llm import neardup
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 64)).astype(np.float32)
+    x[1000:1200] = x[:200] + rng.normal(0, 0.2, (200, 64))
+    x[1200:1260] = x[7] + rng.normal(0, 0.15, (60, 64))
+    x[1300:1320] = x[9]
+    written, save = [], neardup.save
+
+    def measured(df):
+        out, path = save(df)
+        written.append(sum(p.stat().st_size for p in Path(path).rglob("*.parquet")))
+        return out, path
+
+    monkeypatch.setattr(neardup, "save", measured)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in neardup.near_duplicates(df, cells=24, block=64).collect()}
+    assert sum(written) < 4 * x.nbytes
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = u @ u.T >= 0.95
+    np.fill_diagonal(hit, False)
+    assert hit.sum() > 500 and all(got[i]["n_links"] == hit[i].sum() for i in range(len(x)))
+    label = np.arange(len(x))
+    while (new := np.array([min(label[i], *label[hit[i]]) if hit[i].any() else label[i] for i in range(len(x))])).tolist() != label.tolist():
+        label = new
+    assert all(got[i]["component_id"] == label[i] and got[i]["kept"] == (label[i] == i) for i in range(len(x)))
