@@ -47,3 +47,16 @@ def test_a_contraction_in_small_portions_connects_the_same_vertices(spark):
 
 def test_a_table_without_edges_has_no_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_few_edges_are_settled_without_rounds_and_many_by_them(spark, monkeypatch):
+    from textward.llm import components as module
+
+    edges = [e for e in graphs() if e[0] != e[1]]
+    saved, save = [], module.save
+    monkeypatch.setattr(module, "save", lambda df: saved.append(1) or save(df))
+    for few, least, most in ((1 << 20, 1, 2), (10, 3, 99)):
+        saved.clear()
+        found = components(spark.createDataFrame(edges, "a long, b long").repartition(6), few).collect()
+        assert {r["v"]: r["root"] for r in found} == roots(edges) and len(found) == len(roots(edges))
+        assert least <= len(saved) <= most

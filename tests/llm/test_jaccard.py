@@ -62,3 +62,27 @@ def test_partners_are_one_class_away():
         m = int(n * 100 / 85)
         a, b = np.searchsorted(tops, [n, m])
         assert b - a <= 1
+
+
+def test_joins_are_merged_at_every_size(spark, monkeypatch):
+    """Small tables are not collected to be broadcast: plans, and so disk, are the same for larger ones."""
+    from textward.llm import components, jaccard
+
+    plans = []
+
+    def planned(save):
+        def run(df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return save(df)
+
+        return run
+
+    for module in (components, jaccard):
+        monkeypatch.setattr(module, "save", planned(module.save))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    texts = [" ".join(f"w{(i // 3) * 50 + j}" for j in range(40 + i % 3)) for i in range(12)]
+    out = jaccard_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {i: i // 3 * 3 for i in range(12)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before

@@ -52,18 +52,29 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """Arrow batches of few bytes for the plans that are run inside: columns of whole sets would fill large ones."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, size)
+def _set(spark: SparkSession, **values: str) -> Iterator[None]:
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of few bytes for the plans that are run inside: columns of whole sets would fill large ones."""
+    return _set(spark, spark__sql__execution__arrow__maxBytesPerBatch=size)
+
+
+def merged_joins(spark: SparkSession):
+    """Plans that are run inside sort and merge their joins at every size; nothing is collected by the driver to be broadcast."""
+    return _set(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
 
 
 def tidy(spark: SparkSession) -> None:
@@ -71,6 +82,7 @@ def tidy(spark: SparkSession) -> None:
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -1,7 +1,7 @@
 """Connected components over an edge table, by alternating large-star and small-star steps.
 
 Each round ends with a contraction inside every task, which needs no shuffle: edges that a task holds become stars around
-the smallest vertex that they reach. The rest is joins and aggregates with partial sums; each round is written to the shared
+the smallest vertex that they reach. Once the edges left are few enough for one task, it settles them at once. The rest is joins and aggregates with partial sums; each round is written to the shared
 folder, which cuts the lineage. Hot vertices are keys of plain sort-merge joins, whose large partitions adaptive execution splits.
 """
 
@@ -61,14 +61,30 @@ def contracted(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) pairs of longs -> (v, root): the smallest vertex that each vertex reaches; vertices without edges are absent."""
+def _settled(e: DataFrame) -> DataFrame:
+    """(v, root) from edges that one task holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            v, root = stars(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))
+            top = np.unique(root)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v, top])), pa.array(np.concatenate([root, top]))], ["v", "root"])
+
+    return e.select("u", "v").coalesce(1).mapInArrow(run, "v long, root long")
+
+
+def components(edges: DataFrame, few: int = 1 << 20) -> DataFrame:
+    """(a, b) pairs of longs -> (v, root): the smallest vertex that each vertex reaches; vertices without edges are absent.
+
+    ``few`` edges, 16 bytes each, are settled by one task.
+    """
     spark = edges.sparkSession
     e = contracted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")).distinct()
     e, path = save(contracted(e))
     state = lambda: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = state()
-    while True:
+    while seen[0] > few:
         # large star: of all neighbours, each vertex hangs its larger ones below its smallest
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -85,6 +101,9 @@ def components(edges: DataFrame) -> DataFrame:
         before, seen = seen, state()
         if seen == before:
             return e.select(F.col("u").alias("v"), F.col("v").alias("root")).union(e.select("v", F.col("v").alias("root")).distinct())
+    settled, _ = save(_settled(e))
+    drop(spark, path)
+    return settled
 
 
 def spanning(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textward.llm.common import drop, mix, pieces, save, small_batches, text_buffer, tidy, word_hashes
+from textward.llm.common import drop, merged_joins, mix, pieces, save, small_batches, text_buffer, tidy, word_hashes
 from textward.llm.components import components, spanning
 
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -309,9 +309,9 @@ def _linked(v: DataFrame, percent: int) -> DataFrame:
 def jaccard_classes(docs: DataFrame, words: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", few: int = 16) -> DataFrame:
     """Per row: the key, n_shingles and component_id, the smallest key reachable by links."""
     spark = docs.sparkSession
-    with small_batches(spark):
+    with small_batches(spark), merged_joins(spark):
         own, of = _classes(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), words, percent, few)
-    out = own.join(of, "f", "left")
+    out = own.join(of.hint("merge"), "f", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
