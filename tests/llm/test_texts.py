@@ -470,3 +470,25 @@ def test_gibbs_seats_frequent_dishes_from_their_conditional(n, w):
     for start in (1, n):
         got = hpyp.gibbs(np.full(2000, n), np.full(2000, start), np.full(2000, w), d, np.random.default_rng(5), 6)
         assert abs(got.mean() - mean) < 0.12 * deviation and abs(got.std() / deviation - 1) < 0.1
+
+
+def test_contexts_are_named_by_all_training_texts(spark, monkeypatch):
+    """However long the texts are: here they are estimated at 40 million words, of which 60 are distinct and frequent."""
+
+    import pyarrow as pa
+
+    class Named(Exception):
+        pass
+
+    def stop(rows, layout, buckets):
+        raise Named(layout)
+
+    monkeypatch.setattr(hpyp, "_chunks", stop)
+    df = spark.range(60).selectExpr("id AS doc_id", "concat(repeat(concat('common w', id, 'x '), 5), repeat(' ', 4000000)) AS text")
+    with pytest.raises(Named) as got:
+        hpyp.score(df, F.col("doc_id") < 0, contexts=61)
+    words = ["common"] + [f"w{i}x" for i in range(60)]
+    h = word_hashes(*hpyp.text_buffer(pa.array([" ".join(words)])))[0]
+    assert set(got.value.args[0].hot.tolist()) == set(h.tolist())
+    portions = hpyp._frequent(df.selectExpr("doc_id AS id", "substr(text, 1, 99) AS text", "false AS held"), 61, 1e-5)
+    assert portions.hot.tolist() == got.value.args[0].hot.tolist()

@@ -1,8 +1,7 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
 Restaurants: every previous word has one. The ``contexts`` most frequent words have their own; their number grows as the 0.4th
-power of the tokens, and they are counted exactly in documents chosen by a hash of the text (``choice_tokens`` tokens or so, a
-bounded sample that names contexts and nothing else). Rarer words share restaurants with others of their word-ending class by
+power of the tokens, and they are counted exactly in all training texts. Rarer words share restaurants with others of their word-ending class by
 hash, as many as frequent ones. Their parents are the restaurants of the 63 classes and of the start of a text, which
 share the root; its base is uniform over the training words and one unknown word.
 
@@ -233,19 +232,38 @@ def _classes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return (low(last) * 31 + low(prior)) % CLASSES
 
 
-def _frequent(docs: DataFrame, most: int, share: float) -> _Layout:
-    """The most frequent training words of a share of the documents, counted exactly; ties go to the smaller hash."""
+def _frequent(docs: DataFrame, most: int, millions: float = 1.0) -> _Layout:
+    """The most frequent of all training words, counted exactly; ties go to the smaller hash.
+
+    A task adds up its counts, ``millions`` of distinct words at a time.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def added() -> tuple[np.ndarray, ...]:
+            h, at, inv = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
+            n = np.zeros(len(h), dtype=np.int64)
+            np.add.at(n, inv, np.concatenate([x[1] for x in held]))
+            return h, n, np.concatenate([x[2] for x in held])[at]
+
+        def row_of(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1]), pa.array(x[2], pa.int32())], ["h", "c", "k"])
+
         for b in batches:
             for part in pieces(b, "text"):
                 raw, bounds = text_buffer(part.column(0))
                 words, s, e, _ = word_hashes(raw, bounds)
                 h, at, n = np.unique(words, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(_classes(raw, s, e)[at], pa.int32())], ["h", "c", "k"])
-
-    chosen = docs.where(~F.col("held") & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)))
-    got = chosen.select("text").mapInArrow(count, "h long, c long, k int").groupBy("h").agg(F.sum("c").alias("c"), F.min("k").alias("k"))
+                held.append((h, n, _classes(raw, s[at], e[at])))
+                if sum(len(x[0]) for x in held) > millions * 1e6:
+                    held = [added()]
+                    if len(held[0][0]) > millions * 5e5:
+                        yield row_of(held.pop())
+        if held:
+            yield row_of(added())
+
+    got = docs.where(~F.col("held")).select("text").mapInArrow(count, "h long, c long, k int").groupBy("h").agg(F.sum("c").alias("c"), F.min("k").alias("k"))
     top = got.orderBy(F.col("c").desc(), "h").limit(most).toPandas()
     return _Layout(top["h"].to_numpy(np.int64).view(np.uint64), top["k"].to_numpy(np.int64))
 
@@ -409,7 +427,6 @@ def score(
     text: str = "text",
     contexts: int | None = None,
     bucket_tokens: int = 1_000_000,
-    choice_tokens: int = 20_000_000,
     sweeps: int = 6,
     burn: int = 2,
     moves: int = 6,
@@ -420,7 +437,7 @@ def score(
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), held_out.alias("held"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("read"), F.count(F.lit(1)).alias("n")).first()
     tokens = (size["read"] or 0) // 6 + size["n"]
-    layout = _frequent(rows, min(30_000, max(64, round(tokens**0.4))) if contexts is None else contexts, min(1.0, choice_tokens / max(1, tokens)))
+    layout = _frequent(rows, min(30_000, max(64, round(tokens**0.4))) if contexts is None else contexts)
     buckets = max(4, -(-tokens // bucket_tokens))
     held, held_path = save(_chunks(rows, layout, buckets))
     totals = _totals(held.where("bucket is null"))
