@@ -438,6 +438,7 @@ def score(
     size = rows.agg(F.sum(F.octet_length("text")).alias("read"), F.count(F.lit(1)).alias("n")).first()
     tokens = (size["read"] or 0) // 6 + size["n"]
     layout = _frequent(rows, min(30_000, max(64, round(tokens**0.4))) if contexts is None else contexts)
+    tidy(spark)  # the words' counts are done with
     buckets = max(4, -(-tokens // bucket_tokens))
     held, held_path = save(_chunks(rows, layout, buckets))
     totals = _totals(held.where("bucket is null"))
